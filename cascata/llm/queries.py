@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, matroska, warc
+from . import bpe, chat, decontaminate, matroska, quality, simhash, toxicity, warc
 from .common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,15 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), toxicity.learning_rows)
+    return scored.select("doc_id", (~toxicity.learning_rows(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_path())
 
@@ -36,6 +45,15 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.verify_records(warc.read_archives(warc.archive(documents(spark, sf_dir, "pages"))))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), quality.learning_rows)
+    return scored.select("doc_id", (~quality.learning_rows(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.media_column(documents(spark, sf_dir)))
 
