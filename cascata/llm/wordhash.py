@@ -23,9 +23,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
     inverse = pow(_MULTIPLIER, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up, down = (np.cumprod(np.concatenate(([1], np.full(n - 1, v, np.uint64))).astype(np.uint64)) for v in (_MULTIPLIER, inverse))
-    return up, down
+    out = []
+    for base in (_MULTIPLIER, inverse):
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        out.append(np.cumprod(factors, dtype=np.uint64))
+    return out[0], out[1]
 
 
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
