@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, matroska, quality, simhash, toxicity, warc
+from . import bpe, chat, decontaminate, matroska, quality, simhash, substring_bytes, substring_words, toxicity, warc
 from .common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_bytes.digests(documents(spark, sf_dir))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
@@ -45,6 +49,10 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.verify_records(warc.read_archives(warc.archive(documents(spark, sf_dir, "pages"))))
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_words.digests(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
