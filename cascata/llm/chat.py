@@ -109,16 +109,16 @@ def read(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def format_turns(conversations: DataFrame) -> DataFrame:
+def format_turns(conversations: DataFrame, parts: str | None = None) -> DataFrame:
     """One row per turn, in each conversation's order, with its formatted segment.
 
-    Input: conv_id, turn, role, and either text or ``parts`` (an array of typed parts, see PART_TYPE).
+    Input: conv_id, turn, role, and either text or the column that ``parts`` names (an array of typed parts, see PART_TYPE).
     A conversation's formatted text is its segments in order of ``position``.  Turns are ordered by turn
     (null first), then role, then text, so ties have one defined order; repeated rows are turns of their
     own.  Null role or text is empty.  Conversations are dealt out by conv_id and sorted by Spark, and the
     kernel holds one turn at a time, so a long conversation needs no more memory than its longest turn.
     """
-    content = F.col("parts").cast(PART_TYPE) if "parts" in conversations.columns else F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units")))
+    content = F.col(parts).cast(PART_TYPE) if parts else F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units")))
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),

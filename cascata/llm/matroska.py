@@ -89,7 +89,7 @@ def write(payload: bytes, lacing: int = 2) -> bytes:
         for k, lo in enumerate(range(first, min(first + step * BLOCKS, len(payload)), step)):
             data = payload[lo : lo + step]
             sizes = [min(PACKET, len(data) - i) for i in range(0, len(data), PACKET)]
-            kind = lacing if len(sizes) > 1 else 0
+            kind = 0 if len(sizes) == 1 else 3 if lacing == 2 and sizes[-1] != sizes[0] else lacing  # fixed-size lacing needs equal sizes
             flags = 0x80 | kind << 1
             lace = lace_header(sizes, kind) if kind else b""
             parts.append(element(SIMPLE_BLOCK, vint(1) + (k * LACE * PACKET_MS).to_bytes(2, "big") + bytes([flags]) + lace + data))

@@ -18,6 +18,7 @@ they build over a group (a suffix array, a suffix tree).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -126,7 +127,7 @@ def _tile_rows(docs: DataFrame, spec: Spec) -> DataFrame:
 def split(p: Pieces, window: int, block: int) -> tuple[Pieces, np.ndarray, np.ndarray]:
     """Pieces cut into blocks of windows at fixed distances from the anchor, keyed by what all windows of a
     block share; with the piece that each came from and its first window there."""
-    number = (p.distance + 0) // block
+    number = p.distance // block
     last = (p.distance - p.count + 1) // block
     k = number - last + 1
     source = np.repeat(np.arange(len(k)), k)
@@ -144,7 +145,6 @@ def split(p: Pieces, window: int, block: int) -> tuple[Pieces, np.ndarray, np.nd
 
 def _piece_rows(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
     """Contents of the wanted tiles, cut from their documents; very large groups in blocks."""
-    width = np.dtype(np.uint8).itemsize
 
     def run(batches):
         for batch in batches:
@@ -179,7 +179,6 @@ def _piece_rows(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
                         columns = (p.group[b], anchor[pick][source[b]], content[pick][source[b]], shift[b], p.count[b], p.distance[b], p.value[b])
                         yield pa.record_batch([*map(pa.array, columns), binary], names=["key", "anchor", "content", "shift", "count", "distance", "value", "symbols"])
 
-    assert width == 1
     rows = docs.join(wanted, same(docs["doc_id"], wanted["w_id"]) & (docs["text_key"] == wanted["w_key"])).select("text", "wants")
     return rows.mapInArrow(run, "key long, anchor long, content long, shift long, count long, distance long, value long, symbols binary")
 
@@ -292,8 +291,10 @@ def cover(runs: list[tuple[int, int]], window: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def with_runs(docs: DataFrame, spec: Spec) -> DataFrame:
-    """``docs`` (all columns) with the column ``_runs``, null where nothing repeats."""
-    found = covered_runs(docs, spec)
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(found, same(docs["doc_id"].cast("long"), found["w_id"]) & (key == found["w_key"]), "left").drop("w_id", "w_key").withColumnRenamed("runs", "_runs")
+def with_runs(docs: DataFrame, spec: Spec) -> tuple[DataFrame, str]:
+    """``docs`` (all columns) with one more column, null where nothing repeats, and that column's name."""
+    mark = uuid.uuid4().hex  # no column of the input has such a name
+    found = covered_runs(docs, spec).toDF(f"id_{mark}", f"key_{mark}", f"runs_{mark}")
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    joined = docs.join(found, same(docs["doc_id"].cast("long"), found[f"id_{mark}"]) & (key == found[f"key_{mark}"]), "left")
+    return joined.select(*[docs[c] for c in docs.columns], found[f"runs_{mark}"]), f"runs_{mark}"

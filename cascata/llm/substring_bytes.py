@@ -130,7 +130,7 @@ def _applied(docs: DataFrame, keep_text: bool) -> DataFrame:
                 yield pa.record_batch([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_runs(own, SPEC).select("doc_id", "text", "_runs").mapInArrow(run, schema)
+    return with_runs(own, SPEC)[0].mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

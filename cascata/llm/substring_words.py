@@ -140,7 +140,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()))]], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_runs(own, SPEC).select("doc_id", "text", "_runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_runs(own, SPEC)[0].mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A column n_chars, where there is one, is set to the new length.
     """
-    table = with_runs(docs, SPEC)
+    table, _ = with_runs(docs, SPEC)
     where, last = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
@@ -169,5 +169,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns[where] = pa.array(out, batch.column(where).type)
             yield pa.record_batch(columns, schema=pa.schema([batch.schema.field(k) for k in range(last)]))
 
-    kept = table.select(*[table[c] for c in docs.columns], table["_runs"]).mapInArrow(run, docs.schema)
+    kept = table.mapInArrow(run, docs.schema)
     return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
