@@ -63,7 +63,8 @@ def strategy_sketches(edges: DataFrame, nodes: DataFrame, blocked: DataFrame, de
     start = cut(roots(nodes, n).crossJoin(F.broadcast(names)).join(gone, ["strategy", "node"], "left_anti"))
     rr = reach(start, live, ["strategy", "rr_id"]).select("strategy", "rr_id", "node")
     left = nodes.select(F.col("id").alias("node")).crossJoin(F.broadcast(names)).join(gone, ["strategy", "node"], "left_anti").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
-    return rr, left.join(start.groupBy("strategy").agg(F.count(F.lit(1)).alias("r")), "strategy")
+    r = start.groupBy("strategy").agg(F.count(F.lit(1)).alias("r"))
+    return rr, names.join(left, "strategy", "left").join(r, "strategy", "left").na.fill(0, ["n", "r"])
 
 
 def dynamic_influence(edges: DataFrame, nodes: DataFrame, order: DataFrame, den: int, n: int, levels: list[int]) -> DataFrame:

@@ -77,10 +77,11 @@ def levels(alpha: float, n: int) -> list[int]:
 def strategy_influence(rr: DataFrame, seeds: DataFrame, sizes: DataFrame) -> DataFrame:
     """strategy, influence of seeds(node) on each strategy's own sketches rr(strategy, rr_id, node).
 
-    sizes(strategy, n, r): nodes that are left and sketches.  A strategy without a covered sketch has 0.
+    sizes(strategy, n, r): nodes that are left and sketches.  A strategy without a covered sketch has 0,
+    and one without any sketch null.
     """
     hit = rr.join(seeds.select("node").distinct(), "node", "left_semi").groupBy("strategy").agg(F.count_distinct("rr_id").alias("covered"))
-    return sizes.join(hit, "strategy", "left").select("strategy", (F.coalesce("covered", F.lit(0)) * F.col("n") / F.col("r")).alias("influence"))
+    return sizes.join(hit, "strategy", "left").select("strategy", F.try_divide((F.coalesce("covered", F.lit(0)) * F.col("n")).cast("double"), F.col("r").cast("double")).alias("influence"))
 
 
 def worst_case_objective(by_strategy: DataFrame, norm: str | None = None) -> DataFrame:
@@ -102,7 +103,7 @@ class Coverage:
 
     def __init__(self, rr: DataFrame, sizes: DataFrame):
         self.left = cut(rr.select("strategy", "rr_id", "node").distinct())
-        self.weight = {r["strategy"]: (r["n"] / r["r"]) for r in sizes.collect()}  # one row per strategy
+        self.weight = {r["strategy"]: (r["n"] / r["r"] if r["r"] else 0.0) for r in sizes.collect()}  # one row per strategy
         self.value = dict.fromkeys(self.weight, 0.0)
         self.seeds: list[int] = []
 
@@ -150,7 +151,7 @@ def all_greedy(rr: DataFrame, sizes: DataFrame, k: int) -> tuple[str, list[int],
         seeds = [v for v, _ in greedy_cover(rr.filter(F.col("strategy") == strategy), k)]
         own = rr.sparkSession.createDataFrame([(v,) for v in seeds], "node long")
         value = worst_case_objective(strategy_influence(rr, own, sizes)).first()["objective"]
-        if best is None or value > best[2]:
+        if best is None or (value or 0.0) > (best[2] or 0.0):
             best = (strategy, seeds, value)
     return best
 

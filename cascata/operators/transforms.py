@@ -22,7 +22,8 @@ def both_directions(edges: DataFrame) -> DataFrame:
     """Every edge and its reverse; an edge present both ways keeps its smallest weight columns."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]
     swapped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
-    return edges.select("src", "dst", *rest).union(swapped).groupBy("src", "dst").agg(*[F.min(c).alias(c) for c in rest])
+    both = edges.select("src", "dst", *rest).union(swapped)
+    return both.groupBy("src", "dst").agg(*[F.min(c).alias(c) for c in rest]) if rest else both.distinct()
 
 
 def random_direction(edges: DataFrame, tag: str = "direction") -> DataFrame:

@@ -61,7 +61,7 @@ def adjacency_list(spark: SparkSession, path: str) -> DataFrame:
     """src, dst of lines ``node neighbour neighbour ...``."""
     f = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(f.alias("f"))
-    return rows.select(F.get("f", 0).cast("long").alias("src"), F.explode(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0)))).cast("long").alias("dst"))
+    return rows.select(F.get("f", 0).cast("long").alias("src"), F.explode(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0))).cast("array<long>")).alias("dst"))
 
 
 def solution(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
