@@ -378,3 +378,83 @@ def participation(spark, sf_dir):
     size = label.groupBy("world", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = size.groupBy("world").agg(F.max(F.struct("size", (-F.col("component")).alias("m"), "component")).alias("b")).select("world", F.col("b.component").alias("component"))
     return label.join(largest, ["world", "component"]).groupBy("node").agg(F.count(F.lit(1)).alias("worlds"))
+
+
+@query(
+    f"""WITH {TRADE}, {live_sql(TRADE_DEN, 5)} SELECT world, src, dst FROM live"""
+)
+def world_edges_table_function(spark, sf_dir):
+    """Live edges through the SQL table function."""
+    from ..operators.tables import register
+
+    register(spark)
+    trade(spark, sf_dir).createOrReplaceTempView("cascata_trade")
+    return spark.sql(f"SELECT w.world, e.src, e.dst FROM cascata_trade e, LATERAL world_edges(e.src, e.dst, e.c, {TRADE_DEN}, 5) w WHERE w.live")
+
+
+@query(
+    f"""WITH RECURSIVE {SUPP}, s AS (SELECT src, dst FROM e WHERE c >= (SELECT max(c) - 2 FROM e)),
+    r(u, v) AS (SELECT src, dst FROM s UNION SELECT u, dst FROM r JOIN s ON v = src), n AS (SELECT src AS u FROM s UNION SELECT dst FROM s),
+    k AS (SELECT n.u, least(n.u, coalesce(min(x.v), n.u)) AS scc FROM n LEFT JOIN (SELECT a.u, a.v FROM r a JOIN r b ON a.u = b.v AND a.v = b.u) x ON x.u = n.u GROUP BY n.u)
+    SELECT a.scc AS src, b.scc AS dst, count(*) AS multiplicity FROM s JOIN k a ON a.u = s.src JOIN k b ON b.u = s.dst WHERE a.scc <> b.scc GROUP BY 1, 2"""
+)
+def condensation(spark, sf_dir):
+    """Edges between strongly connected components, with multiplicities."""
+    from ..operators.condense import condensed
+
+    edges = supp(spark, sf_dir)
+    top = edges.agg(F.max("c").alias("top"))
+    heavy = edges.crossJoin(F.broadcast(top)).filter("c >= top - 2").select("src", "dst")
+    return condensed(heavy, fixpoint.strong_components(heavy, transforms.nodes(heavy)))[0]
+
+
+@query(
+    f"""WITH RECURSIVE {SUPP}, {DEG}, {N}, {live_sql(SUPP_SPARSE, 5)}, {BLOCKED_SQL}, t AS (SELECT DISTINCT strategy FROM bl),
+    s AS (SELECT 'top' AS seeding, node FROM o WHERE rank BETWEEN 15 AND 17 UNION ALL SELECT 'late', node FROM o WHERE rank BETWEEN 40 AND 42),
+    r(seeding, strategy, w, v) AS (SELECT seeding, strategy, range, node FROM t, range(5), s WHERE NOT EXISTS (SELECT 1 FROM bl WHERE bl.strategy = t.strategy AND bl.node = s.node)
+      UNION SELECT r.seeding, r.strategy, w, dst FROM r JOIN live ON world = w AND src = v WHERE NOT EXISTS (SELECT 1 FROM bl WHERE bl.strategy = r.strategy AND bl.node = dst)),
+    k AS (SELECT seeding, strategy, count(*) / 5.0 AS k FROM r GROUP BY ALL)
+    SELECT seeding, round(min(k), 6) AS worst, count(*) AS strategies FROM k GROUP BY seeding"""
+)
+def pairwise_simulation(spark, sf_dir):
+    """Every seed set against every blocked set in common worlds; the worst case of each seed set."""
+    edges = supp(spark, sf_dir)
+    order = immunize.degree(edges)
+    seeds = order.filter("rank BETWEEN 15 AND 17").select(F.lit("top").alias("seeding"), "node").union(order.filter("rank BETWEEN 40 AND 42").select(F.lit("late"), "node"))
+    blocked = _blocked(edges)
+    live = worlds.without_blocked(worlds.live_ic(edges, SUPP_SPARSE, 5), blocked)
+    start = seeds.crossJoin(F.broadcast(blocked.select("strategy").distinct())).join(blocked, ["strategy", "node"], "left_anti")
+    every = worlds.worlds(start, 5)
+    active = fixpoint.reach(every, live, ["seeding", "strategy", "world"], ["strategy", "world"])
+    per = active.groupBy("seeding", "strategy").agg((F.count(F.lit(1)) / F.lit(5.0)).alias("k"))
+    return _rounded(per.groupBy("seeding").agg(F.min("k").alias("worst"), F.count(F.lit(1)).alias("strategies")), "worst")
+
+
+@query()
+def rewired_assortativity(spark, sf_dir):
+    """Assortativity before and after degree-preserving rewiring."""
+    from ..operators.search import improve_assortativity
+    from ..operators.statistics import assortativity
+
+    edges = supp(spark, sf_dir).select("src", "dst")
+    after = improve_assortativity(edges, 200, rounds=3)
+    return assortativity(edges).withColumn("state", F.lit("before")).union(assortativity(after).withColumn("state", F.lit("after")))
+
+
+@query()
+def greedy_removal_order(spark, sf_dir):
+    """Removals that each keep the expected largest reach highest, on the densest part of the trade graph."""
+    from ..operators.search import greedy_removal
+
+    edges = trade(spark, sf_dir).filter("src < 8 AND dst < 8").cache()
+    live = worlds.live_ic(edges, TRADE_DEN, 5).cache()
+    ids = [r["id"] for r in transforms.nodes(edges).collect()]  # at most 8 nodes
+
+    def score(gone):
+        rest = [v for v in ids if v not in gone]
+        order = spark.createDataFrame([(v, i) for i, v in enumerate(rest)], "node long, rank int")
+        kept = live.filter(~F.col("src").isin(gone) & ~F.col("dst").isin(gone))
+        return kernels.max_reach(kept, order, 5).filter("l = 0").agg(F.avg("max_reach")).first()[0]
+
+    found = greedy_removal(ids, score, 1)
+    return spark.createDataFrame([(i, v, s) for i, (v, s) in enumerate(found)], "pos int, node long, value double")
