@@ -17,24 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer's nation to supplier's nation, by line items."""
+    """Customer's nation to supplier's nation, by line items.
+
+    Orders get their nation first, so the line items are shuffled once, by order; what meets the suppliers
+    is already summed up by nation and supplier.
+    """
     read = lambda n: table(spark, sf_dir, n)
-    lines = read("lineitem").select("l_orderkey", "l_suppkey")
-    # line items are counted by (order, supplier) before anything is joined
-    lines = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("k"))
-    joined = (
-        lines.join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(read("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
-        .join(read("supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
-    )
+    orders = read("orders").select("o_orderkey", "o_custkey").join(read("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
+    lines = read("lineitem").select("l_orderkey", "l_suppkey").join(orders.select("o_orderkey", "src"), F.col("l_orderkey") == F.col("o_orderkey"))
+    by_supplier = lines.groupBy("src", "l_suppkey").agg(F.count(F.lit(1)).alias("k"))
+    joined = by_supplier.join(read("supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.filter("src <> dst").groupBy("src", "dst").agg(F.sum("k").alias("c"))
 
 
 def _succession(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", key).agg(F.count(F.lit(1)).alias("k"))
-    a = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col(key).alias("src"), F.col("k").alias("ka"))
-    b = lines.select("l_orderkey", "l_linenumber", F.col(key).alias("dst"), F.col("k").alias("kb"))
-    return a.join(b, ["l_orderkey", "l_linenumber"]).filter("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("ka") * F.col("kb")).alias("c"))
+    """Pairs of neighbouring lines of an order; one shuffle by order gathers its few lines, then pairs are counted."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("at"), F.col(key).alias("v")).alias("x"))
+    own = lines.groupBy("l_orderkey").agg(F.collect_list("x").alias("xs"))
+    pairs = F.flatten(F.transform("xs", lambda a: F.transform(F.filter("xs", lambda b: (b["at"] == a["at"] + 1) & (b["v"] != a["v"])), lambda b: F.struct(a["v"].alias("src"), b["v"].alias("dst")))))
+    return own.select(F.explode(pairs).alias("e")).groupBy(F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.count(F.lit(1)).alias("c"))
 
 
 def supp(spark: SparkSession, sf_dir: str) -> DataFrame:
