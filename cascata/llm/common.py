@@ -1,18 +1,18 @@
-"""Helpers shared by the operators: byte views of Arrow columns, shared folders, checkpoints."""
+"""Helpers shared by the operators: byte views of Arrow columns, numbering, and the engine's shared folders."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut, fresh_folder, shared_folder
+
+__all__ = ["CHUNK_BYTES", "chunks", "crc_bucket", "cut", "documents", "fresh_folder", "ranges", "same", "shared_folder", "text_view"]
+
 #: Bytes of text that a kernel looks at in one numpy call; bounds a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,32 +49,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, as ``spark.checkpoint.dir`` names it.
-
-    Where that setting is absent (tests on one machine) a temporary folder is used and set.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if not path:
-        path = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="cascata-")
-    if not current.isDefined():
-        sc.setCheckpointDir(path)
-    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and return it with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -16,59 +16,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranges
-from .repeats import BLOCK, Pieces, Spec, Symbols, cover, split, with_runs
+from .repeats import Pieces, Spec, Symbols, cover, split, with_runs
 from .suffix_array import suffix_arrays
 from .wordhash import span_hashes
 
 WINDOW, GRAM = 200, 48
-#: Contents in a suffix array, at most; larger groups are cut into blocks first, and then into single windows.
-LANE = 16
+#: Window starts of the blocks that contents are cut into, and the next ones for groups of more than LANE blocks.
+BLOCKS = (32, 8, 1)
+LANE = 64
 #: Symbols that are sorted side by side.
-SORTED = 1 << 20
+SORTED = 1 << 19
 
 
-def _classes(p: Pieces, window: int, total: np.ndarray, at: np.ndarray) -> None:
+def _classes(p: Pieces, window: int, total: np.ndarray, at: np.ndarray, blocks: tuple[int, ...]) -> None:
     """Adds up, for every window, the occurrences of all equal windows of its group, into ``total``.
 
-    ``at`` is the place of each piece's first window in ``total``.
+    ``at`` is the place of each piece's first window in ``total``.  Pieces are cut into blocks of windows at
+    fixed distances from the anchor; only blocks that share the symbols common to all their windows (their
+    core) can hold equal windows, and blocks that share it with no other are done.
     """
-    order = np.lexsort((p.count, p.group))
-    key = p.group[order]
+    block = blocks[0]
+    cut, source, shift = split(p, window, block)
+    where = at[source] + shift
+    order = np.argsort(cut.group, kind="stable")
+    key = cut.group[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
     k = np.diff(np.append(head, len(key)))
-    small, large = k <= LANE, k > LANE
+    if block == 1:  # the core is the window
+        sums = np.add.reduceat(cut.value[order], head) if len(head) else np.zeros(0, np.int64)
+        total[where[order]] = np.maximum(total[where[order]], np.repeat(sums, k))
+        return
+    large = k > LANE
     if large.any():
         pick = order[ranges(head[large], k[large])]
-        sub = Pieces(p.values, p.start[pick], p.count[pick], p.distance[pick], p.group[pick], p.value[pick])
-        # a group of blocks that is still large is one of near-equal contents: its single windows are keyed whole
-        block = BLOCK if (p.count[pick] > 1).any() and window - BLOCK > 0 and not getattr(p, "blocks", False) else 1
-        cut, source, shift = split(sub, window, block)
-        where = at[pick][source] + shift
-        if block == 1:
-            _, own = np.unique(cut.group, return_inverse=True)
-            total[where] = np.maximum(total[where], np.bincount(own, cut.value)[own].astype(np.int64))
-        else:
-            cut.blocks = True
-            _classes(cut, window, total, where)
-    # lanes of like length are sorted side by side
-    several = np.flatnonzero(small & (k > 1))
-    if not len(several):
+        sub = Pieces(cut.values, cut.start[pick], cut.count[pick], cut.distance[pick], cut.group[pick], cut.value[pick])
+        _classes(sub, window, total, where[pick], blocks[1:])
+    lanes = np.flatnonzero((k > 1) & ~large)
+    if not len(lanes):
         return
-    length = np.add.reduceat(p.count[order] + window, head)[several] + 1
-    several, length = several[np.argsort(length)], np.sort(length)
-    edges = np.searchsorted(np.cumsum(length), np.arange(0, length.sum() + SORTED, SORTED))
+    # lanes of like length are sorted side by side
+    size = cut.distance % block + 1 + _right(cut, window, block) + 1
+    length = np.add.reduceat(size[order], head)[lanes] + 1
+    by_length = np.argsort(length, kind="stable")
+    lanes, length = lanes[by_length], length[by_length]
+    group = np.cumsum(length) // SORTED
+    edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(lanes))
     for a, b in zip(edges[:-1], edges[1:]):
-        if a < b:
-            lanes = several[a:b]
-            _sorted_lanes(p, window, order[ranges(head[lanes], k[lanes])], k[lanes], length[a:b], total, at)
+        own = lanes[a:b]
+        _sorted_lanes(cut, window, block, order[ranges(head[own], k[own])], k[own], length[a:b], total, where)
+
 
+def _right(p: Pieces, window: int, block: int) -> np.ndarray:
+    """Symbols of each block piece after its core."""
+    return p.count - 1 + block - 1 - p.distance % block
 
-def _sorted_lanes(p: Pieces, window: int, pick: np.ndarray, k: np.ndarray, length: np.ndarray, total: np.ndarray, at: np.ndarray) -> None:
-    size = p.count[pick] + window  # a content's symbols and one that ends it
+
+def _sorted_lanes(p: Pieces, window: int, block: int, pick: np.ndarray, k: np.ndarray, length: np.ndarray, total: np.ndarray, at: np.ndarray) -> None:
+    """One suffix array per group of blocks: symbols before the core, one symbol for the core, symbols after it.
+
+    A window is then ``block`` symbols that hold the core's; equal windows are neighbours in suffix order.
+    """
+    left, right = (p.distance % block)[pick], _right(p, window, block)[pick]
+    size = left + 1 + right + 1  # with a symbol that ends the piece
     lane = np.repeat(np.arange(len(k)), k)
-    begin = np.cumsum(size) - size + lane  # lanes end with one symbol more
+    begin = np.cumsum(size) - size + lane  # a lane ends with one symbol more
     symbols = np.zeros(int(length.sum()), np.int16)
-    symbols[ranges(begin, size - 1)] = p.values[ranges(p.start[pick], size - 1)].astype(np.int16) + 2
+    symbols[ranges(begin, left)] = p.values[ranges(p.start[pick], left)].astype(np.int16) + 3
+    symbols[begin + left] = 2
+    after = p.start[pick] + left + window - block + 1
+    symbols[ranges(begin + left + 1, right)] = p.values[ranges(after, right)].astype(np.int16) + 3
     symbols[begin + size - 1] = 1
     order = suffix_arrays(symbols, length)
     # only suffixes that are windows count
@@ -81,23 +97,22 @@ def _sorted_lanes(p: Pieces, window: int, pick: np.ndarray, k: np.ndarray, lengt
     lane_of = np.repeat(np.arange(len(length)), length)[order]
     alike = lane_of[1:] == lane_of[:-1]
     # the common prefix of neighbours reaches the window's length: hashes first, then the symbols themselves
-    hashes = span_hashes(symbols, order, order + window)
+    hashes = span_hashes(symbols, order, order + block)
     alike &= hashes[1:] == hashes[:-1]
     pairs = np.flatnonzero(alike)
-    for lo in range(0, len(pairs), 16384):
-        own = pairs[lo : lo + 16384]
-        ahead = np.arange(window)
-        alike[own] = (symbols[order[own][:, None] + ahead] == symbols[order[own + 1][:, None] + ahead]).all(1)
-    label = np.cumsum(np.append(0, ~alike)) if len(order) else np.zeros(0, int)
-    sums = np.bincount(label, weight[order]) if len(order) else np.zeros(0)
+    ahead = np.arange(block)
+    for lo in range(0, len(pairs), 32768):
+        two = pairs[lo : lo + 32768]
+        alike[two] = (symbols[order[two][:, None] + ahead] == symbols[order[two + 1][:, None] + ahead]).all(1)
+    label = np.cumsum(np.append(0, ~alike))
     where = slot[order]
-    total[where] = np.maximum(total[where], sums[label].astype(np.int64))
+    total[where] = np.maximum(total[where], np.bincount(label, weight[order])[label].astype(np.int64))
 
 
 def kernel(p: Pieces, window: int = WINDOW) -> np.ndarray:
     """Occurrences in the corpus of every window of every piece."""
     total = np.repeat(p.value, p.count)
-    _classes(p, window, total, np.cumsum(p.count) - p.count)
+    _classes(p, window, total, np.cumsum(p.count) - p.count, BLOCKS)
     return total
 
 

@@ -91,26 +91,30 @@ def _emitted(group: np.ndarray, prev: np.ndarray, base: np.ndarray, ends: np.nda
     free[base] += 1
     placed[ends - 1] = True
     at, low, high = base.copy(), base, ends
-    now = out[at] - 1
+    now = ends - 2
     now[now < low] = -1
     while len(at):
-        go = now >= 0
-        go[go] = ~placed[now[go]]
+        # lanes whose chain has ended go on to the next suffix of the array
+        rest = np.flatnonzero((now < 0) | placed[now])
+        if len(rest):
+            own = at[rest] + 1
+            at[rest] = own
+            inside = own < high[rest]
+            first = out[own[inside]] - 1
+            own = rest[inside]
+            first[first < low[own]] = -1
+            now[own] = first
+            if len(own) < len(rest):
+                keep = at < high
+                at, low, high, now = at[keep], low[keep], high[keep], now[keep]
+        go = np.flatnonzero((now >= 0) & ~placed[now])
         s = now[go]
         g = group[s]
-        out[free[g]] = s
-        free[g] += 1
+        place = free[g]
+        out[place] = s
+        free[g] = place + 1
         placed[s] = True
         now[go] = prev[s]
-        rest = ~go
-        at[rest] += 1
-        ended = at >= high
-        if ended.any():
-            keep = ~ended
-            at, low, high, now, rest = at[keep], low[keep], high[keep], now[keep], rest[keep]
-        nxt = out[at[rest]] - 1
-        nxt[nxt < low[rest]] = -1
-        now[rest] = nxt
     return out
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -14,35 +12,74 @@ BLANKS = b" \t\n\v\f\r"
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser: every input bit reaches every output bit."""
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    return h ^ (h >> _U(32))
+    h = h ^ (h >> _U(32))
+    h *= _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(29)
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(32)
+    return h
+
+
+_table: list[np.ndarray] = []
 
 
-@lru_cache(8)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64."""
-    inverse = pow(_MULTIPLIER, -1, 1 << 64)
-    out = []
-    for base in (_MULTIPLIER, inverse):
-        factors = np.full(n, base, np.uint64)
-        factors[0] = 1
-        out.append(np.cumprod(factors, dtype=np.uint64))
-    return out[0], out[1]
+    """The first n powers of the multiplier and of its inverse modulo 2**64, from one table per process."""
+    if not _table or len(_table[0]) < n:
+        size = max(1024, 1 << (n - 1).bit_length())
+        made = []
+        for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            made.append(np.cumprod(factors, dtype=np.uint64))
+        _table[:] = made
+    return _table[0][:n], _table[1][:n]
+
+
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def _prefix(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the scaled symbols, and the inverse powers."""
+    n = len(symbols)
+    up, down = _powers(n + 1)
+    prefix = np.empty(n + 1, np.uint64)
+    prefix[0] = 0
+    with np.errstate(over="ignore"):
+        scaled = _BYTES[symbols] if symbols.dtype == np.uint8 else mix(symbols.astype(np.uint64) + _U(1))
+        scaled *= up[:n]
+        np.cumsum(scaled, out=prefix[1:])
+    return prefix, down
 
 
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of symbols[s:e] for each span: equal spans of symbols have equal hashes wherever they stand."""
-    n = len(symbols)
-    size = max(1024, 1 << (n + 1).bit_length())
-    up, down = _powers(size)
+    prefix, down = _prefix(symbols)
     with np.errstate(over="ignore"):
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(symbols.astype(np.uint64) + _U(1)) * up[:n], out=prefix[1:])
         raw = (prefix[ends] - prefix[starts]) * down[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
 
 
+class Hashed:
+    """A symbol sequence whose grams and spans are hashed from one pass; hashes equal those of span_hashes()."""
+
+    def __init__(self, symbols: np.ndarray):
+        self.prefix, self.down = _prefix(symbols)
+
+    def grams(self, size: int) -> np.ndarray:
+        n = len(self.prefix) - size
+        with np.errstate(over="ignore"):
+            raw = self.prefix[size:] - self.prefix[:n]
+            raw *= self.down[:n]
+            raw += _U(size * 0x2545F4914F6CDD1D & (1 << 64) - 1)
+            return mix(raw)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            raw = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
+            return mix(raw + (ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+
+
 def word_spans(buf: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes."""
     inside = np.concatenate(([0], is_word[buf].astype(np.int8), [0]))
@@ -89,8 +126,6 @@ def document_words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) ->
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of every ``width`` consecutive words (shorter by width - 1 than ``words``)."""
-    n = len(words) - width + 1
-    if n <= 0:
+    if len(words) < width:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return span_hashes(words, at, at + width)
+    return Hashed(words).grams(width)
