@@ -85,5 +85,27 @@ def dynamic_influence(edges: DataFrame, nodes: DataFrame, order: DataFrame, den:
     return best.join(left, "l").select("l", F.col("b.node").alias("node"), (F.col("b.k") * (total - F.col("l")) / F.col("r")).alias("influence"))
 
 
+def dynamic_worst_case(edges: DataFrame, nodes: DataFrame, orders: DataFrame, den: int, n: int, levels: list[int]) -> DataFrame:
+    """l, node, objective: the best single seed against the worst of several orders(strategy, node, rank), by level.
+
+    One bottleneck closure serves all strategies and levels; a seed that a strategy has removed reaches nothing there.
+    """
+    total = nodes.count()
+    names = cut(orders.select("strategy").distinct())
+    live = live_ic(edges, den, n, "rric", "rr_id")
+    back = live.join(orders.select("strategy", F.col("node").alias("src"), "rank"), "src").select("strategy", "rr_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "rank")
+    start = cut(roots(nodes, n).join(orders, "node").select("strategy", "rr_id", "node", "rank"))
+    pairs = bottleneck(start, cut(back), ["strategy", "rr_id"])
+    at = F.array(*[F.lit(v) for v in levels])
+    counts = pairs.select("strategy", F.col("v").alias("node"), F.explode(F.filter(at, lambda x: x <= F.col("b"))).alias("l")).groupBy("l", "strategy", "node").agg(F.count(F.lit(1)).alias("k"))
+    left = start.select("strategy", F.explode(F.filter(at, lambda x: x <= F.col("rank"))).alias("l")).groupBy("l", "strategy").agg(F.count(F.lit(1)).alias("r"))
+    value = counts.join(left, ["l", "strategy"]).withColumn("i", F.col("k") * (total - F.col("l")) / F.col("r"))
+    # a strategy that a candidate is missing from counts as zero
+    per = value.groupBy("l", "node").agg(F.min("i").alias("low"), F.count(F.lit(1)).alias("m")).crossJoin(F.broadcast(names.agg(F.count(F.lit(1)).alias("all"))))
+    worst = F.when(F.col("m") == F.col("all"), F.col("low")).otherwise(0.0)
+    best = per.groupBy("l").agg(F.max(F.struct(F.round(worst, 9).alias("objective"), "node")).alias("b"))
+    return best.select("l", "b.node", "b.objective")
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -458,3 +458,33 @@ def greedy_removal_order(spark, sf_dir):
 
     found = greedy_removal(ids, score, 1)
     return spark.createDataFrame([(i, v, s) for i, (v, s) in enumerate(found)], "pos int, node long, value double")
+
+
+@query(
+    f"""WITH RECURSIVE {SUPP}, {DEG}, {N}, {live_sql(SUPP_SPARSE, 50, "rric", "rr_id")}, i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM n),
+    p AS (SELECT 'Degree' AS strategy, node, rank FROM o UNION ALL SELECT 'Random', id, row_number() OVER (ORDER BY {u32_sql('random', 'id')}, id) - 1 FROM n),
+    z AS (SELECT CAST(range AS INTEGER) AS rr_id, CAST(floor({u32_sql('root', 'range')} * (SELECT count(*) FROM n) / 4294967296.0) AS BIGINT) AS k FROM range(50)),
+    q AS (SELECT strategy, l, rr_id, id FROM (SELECT range * 20 AS l FROM range(4)) lv, z JOIN i USING (k) JOIN p ON p.node = id WHERE p.rank >= l),
+    r(strategy, l, rr_id, node) AS (SELECT * FROM q UNION SELECT r.strategy, r.l, r.rr_id, src FROM r JOIN live ON live.rr_id = r.rr_id AND dst = r.node JOIN p ON p.strategy = r.strategy AND p.node = src WHERE p.rank >= r.l),
+    s AS (SELECT l, strategy, count(*) AS r FROM q GROUP BY ALL), v AS (SELECT r.l, r.strategy, r.node, count(*) * ((SELECT count(*) FROM n) - r.l) / CAST(any_value(s.r) AS DOUBLE) AS i FROM r JOIN s ON s.l = r.l AND s.strategy = r.strategy GROUP BY r.l, r.strategy, r.node),
+    w AS (SELECT l, node, CASE WHEN count(*) = 2 THEN min(i) ELSE 0 END AS w FROM v GROUP BY l, node)
+    SELECT CAST(l AS INTEGER) AS l, arg_max(node, (round(w, 9), node)) AS node, round(max(w), 6) AS objective FROM w GROUP BY l"""
+)
+def dynamic_worst_case(spark, sf_dir):
+    """Best single seed against the worse of two removal orders, by level."""
+    edges = supp(spark, sf_dir)
+    one = immunize.degree(edges).select(F.lit("Degree").alias("strategy"), "node", F.col("rank").cast("int").alias("rank"))
+    two = immunize.random_order(edges).select(F.lit("Random").alias("strategy"), "node", F.col("rank").cast("int").alias("rank"))
+    found = robust.dynamic_worst_case(edges, transforms.nodes(edges), one.union(two), SUPP_SPARSE, 50, list(range(0, 80, 20)))
+    return _rounded(found, "objective")
+
+
+@query(
+    f"""{by_strategy_sql()}, k AS (SELECT strategy, rr_id, count(*) AS k FROM r GROUP BY ALL), b AS (SELECT rr_id, arg_min(strategy, (k, strategy)) AS strategy FROM k GROUP BY rr_id),
+    g AS (SELECT node, count(*) AS gain FROM r JOIN b USING (rr_id, strategy) GROUP BY node) SELECT node, gain FROM g ORDER BY gain DESC, node DESC LIMIT 1"""
+)
+def adversarial_seed(spark, sf_dir):
+    """Greedy cover of the worst-case sketches."""
+    rr, _ = _by_strategy(spark, sf_dir)
+    found = seeding.greedy_cover(sketches.worst_case(rr).select("rr_id", "node"), 1)
+    return spark.createDataFrame([(v, int(g)) for v, g in found], "node long, gain long")

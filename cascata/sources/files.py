@@ -125,6 +125,22 @@ def write_graph(edges: DataFrame, folder: str, graph_id: str, **attrs) -> None:
     spark.createDataFrame([(f"{k}={v}",) for k, v in table.items()], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/attributes.txt")
 
 
+def write_solution(edges: DataFrame, blocked: list[int], solver: str, path: str, static: bool = False) -> None:
+    """Solution JSON: the order, and the edges with neither end blocked as flat pairs with weights (1 if ``static``)."""
+    from ..operators.transforms import block
+
+    spark = edges.sparkSession
+    left = block(edges, spark.createDataFrame([(v,) for v in blocked], "node long"))
+    rows = F.array_sort(F.collect_list(F.struct("src", "dst", (F.lit(1.0) if static else F.col("weight")).alias("weight"))))
+    out = left.agg(rows.alias("e")).select(
+        F.lit(solver).alias("solver"),
+        F.lit(blocked).cast("array<long>").alias("Blocked nodes"),
+        F.flatten(F.transform("e", lambda x: F.array(x["src"], x["dst"]))).alias("edgelist"),
+        F.transform("e", lambda x: x["weight"]).alias("weights"),
+    )
+    out.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_seeds(seeds: DataFrame, path: str) -> None:
     """One id per line, in order of ``pos``."""
     seeds.orderBy("pos").select(F.col("node").cast("string")).coalesce(1).write.mode("overwrite").text(path)
