@@ -52,6 +52,12 @@ def block(edges: DataFrame, blocked: DataFrame) -> DataFrame:
     return edges.join(b, edges["src"] == b["node"], "left_anti").join(b, edges["dst"] == b["node"], "left_anti")
 
 
+def shrink(edges: DataFrame, order: DataFrame, keep: int) -> DataFrame:
+    """Remove the first nodes of order(node, rank) until ``keep`` are left, and relabel what remains."""
+    n = order.count()
+    return relabel(block(edges, order.filter(F.col("rank") < n - keep).select("node")))
+
+
 def replace_edges(edges: DataFrame, edgelist: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """Graph scan with an edge list: only listed edges, with the list's weight where it has one."""
     own = block(edges, blocked) if blocked is not None else edges

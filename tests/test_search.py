@@ -43,6 +43,18 @@ def test_table_functions_equal_the_operators(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, worlds.live_ic(edges, 10, 30).collect()))
 
 
+def test_shrink_by_degree_and_reseed(spark):
+    """A larger network is shrunk by its own hubs, relabelled, and seeded anew."""
+    from cascata.operators import immunize
+    from cascata.requests import InfluenceMaximisation
+
+    edges = generators.generate(spark, "powerlaw_cluster", 0.5, n=40, mm=3, p=0.4).selectExpr("src", "dst", "500000L AS c")
+    left = transforms.shrink(edges, immunize.degree(edges), 25)
+    ids = [r["id"] for r in transforms.nodes(left).collect()]
+    assert len(ids) <= 25 and sorted(ids) == list(range(len(ids)))
+    assert InfluenceMaximisation(seeds=1, epsilon=0.5, limit=100).run(left).count() == 1
+
+
 def test_time_limit(spark):
     assert tables.within(spark, 60, lambda: spark.range(10).count()) == 10
     slow = spark.range(0, 4, 1, 4).mapInPandas(lambda it: (time.sleep(30) or p for p in it), "id long")
