@@ -17,15 +17,18 @@ def _right_wins(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return l.join(r, l["_k"] == r["_r"]).drop("_k", "_r")
 
 
-def joined_results(seeding: DataFrame, immunization: DataFrame, simulations: DataFrame, graphs: DataFrame) -> DataFrame:
-    """Every result with its own rows, by what its command says.
+# What stored commands of seed selections over all strategies, and of simulations, contain.
+ROBUST, SIMULATOR = "SatGreedy", "Simulator"
+
+
+def joined_results(seeding: DataFrame, immunization: DataFrame, simulations: DataFrame, graphs: DataFrame, robust: str = ROBUST, simulator: str = SIMULATOR) -> DataFrame:
+    """Every result with its own rows, by which of the two marks its command contains.
 
     A seed selection over all strategies refers to a graph, a simulation to its request, anything else to
     an immunization; requests and immunizations refer to a graph.  The later table wins on equal names.
     """
-    sat = seeding.filter(F.contains("cmd", F.lit("SatGreedy")))
-    sim = seeding.filter(~F.contains("cmd", F.lit("SatGreedy")) & F.contains("cmd", F.lit("Simulator")))
-    rest = seeding.filter(~F.contains("cmd", F.lit("SatGreedy")) & ~F.contains("cmd", F.lit("Simulator")))
+    is_robust, is_simulation = F.contains("cmd", F.lit(robust)), F.contains("cmd", F.lit(simulator))
+    sat, sim, rest = seeding.filter(is_robust), seeding.filter(~is_robust & is_simulation), seeding.filter(~is_robust & ~is_simulation)
     parts = [
         _right_wins(sat, graphs, "related_obj_id", "graph_id"),
         _right_wins(_right_wins(sim, simulations, "related_obj_id", "sim_id"), graphs, "graph", "graph_id"),

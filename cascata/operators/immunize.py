@@ -114,7 +114,7 @@ def acquaintance(edges: DataFrame, tag: str = "acquaintance") -> DataFrame:
     table = collected(edges.select("src", "dst"))
     left = sorted({*table["src"], *table["dst"]})
     out = table.groupby("src")["dst"].apply(sorted).to_dict()
-    rng = np.random.default_rng(abs(hash(tag)) % (1 << 32) if not tag.isascii() else sum(map(ord, tag)))
+    rng = np.random.default_rng(list(tag.encode()))
     alive, order = set(left), []
     while left:
         node = left[rng.integers(len(left))]

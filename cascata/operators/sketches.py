@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..coins import SIDES, u32, uniform
-from ..runtime import cut
+from ..coins import SIDES, u32
+from ..runtime import cut, numbered
 from .fixpoint import reach, shortest
 from .worlds import live_ic, live_lt
 
@@ -15,8 +15,6 @@ def roots(nodes: DataFrame, n: int, tag: str = "root") -> DataFrame:
     """rr_id, node: a root for each of n sketches, uniform over nodes(id) that are numbered by id."""
     ids = nodes.select("id").distinct()
     size = ids.agg(F.count(F.lit(1)).alias("n"))
-    from ..runtime import numbered
-
     order = numbered(ids, [F.col("id")], "k")
     draws = nodes.sparkSession.range(n).select(F.col("id").cast("int").alias("rr_id"))
     picks = draws.crossJoin(F.broadcast(size)).select("rr_id", F.floor(u32(tag, "rr_id") * F.col("n") / F.lit(float(SIDES))).cast("long").alias("k"))
@@ -65,13 +63,3 @@ def rr_sets_continuous(edges: DataFrame, nodes: DataFrame, n: int, horizon: floa
     every = edges.withColumn("rr_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     back = every.select("rr_id", F.col("dst").alias("src"), F.col("src").alias("dst"), weibull(every).alias("distance"))
     return shortest(roots(nodes, n), cut(back.filter(F.col("distance") < horizon)), ["rr_id"], limit=horizon)
-
-
-def coin_uniform(*keys):
-    return uniform("u", *keys)
-
-
-def cumulative_counts(rr: DataFrame) -> DataFrame:
-    """rr_id, size, total: sizes and their running sum by rr_id; used to grow a collection to a budget."""
-    sizes = rr.groupBy("rr_id").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.withColumn("total", F.sum("size").over(Window.orderBy("rr_id").rowsBetween(Window.unboundedPreceding, 0)))

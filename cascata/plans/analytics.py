@@ -170,19 +170,19 @@ def filtered_rows(spark, sf_dir):
     return o.filter((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & ~F.col("o_custkey").isin(1, 2, 3) & (F.col("o_totalprice") < 100000)).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-CMD = "CASE o_orderkey % 3 WHEN 0 THEN 'bin/SatGreedy -s ' WHEN 1 THEN 'bin/Simulator -s ' ELSE 'bin/Rob -s ' END || CAST(o_orderkey % 50 AS VARCHAR) || ' -m 5'"
+CMD = "CASE o_orderkey % 3 WHEN 0 THEN 'bin/Robust -s ' WHEN 1 THEN 'bin/Simulator -s ' ELSE 'bin/Rob -s ' END || CAST(o_orderkey % 50 AS VARCHAR) || ' -m 5'"
 
 
 def _cmd():
-    return F.concat(F.when(F.col("o_orderkey") % 3 == 0, "bin/SatGreedy -s ").when(F.col("o_orderkey") % 3 == 1, "bin/Simulator -s ").otherwise("bin/Rob -s "), (F.col("o_orderkey") % 50).cast("string"), F.lit(" -m 5"))
+    return F.concat(F.when(F.col("o_orderkey") % 3 == 0, "bin/Robust -s ").when(F.col("o_orderkey") % 3 == 1, "bin/Simulator -s ").otherwise("bin/Rob -s "), (F.col("o_orderkey") % 50).cast("string"), F.lit(" -m 5"))
 
 
 @query(
     f"""WITH s AS (SELECT o_orderkey AS run, {CMD} AS cmd, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 25 ELSE o_custkey END AS related, o_totalprice AS rob FROM orders),
     g AS (SELECT CAST(n_nationkey AS BIGINT) AS graph_id, n_name AS name FROM nation), i AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS graph, c_mktsegment AS solver FROM customer)
-    SELECT run, cmd, rob, NULL AS solver, NULL AS simulated, name FROM s JOIN g ON related = graph_id WHERE contains(cmd, 'SatGreedy')
+    SELECT run, cmd, rob, NULL AS solver, NULL AS simulated, name FROM s JOIN g ON related = graph_id WHERE contains(cmd, 'Robust')
     UNION ALL SELECT run, cmd, rob, NULL, 'yes', name FROM s JOIN i ON related = id JOIN g ON graph = graph_id WHERE contains(cmd, 'Simulator')
-    UNION ALL SELECT run, cmd, rob, solver, NULL, name FROM s JOIN i ON related = id JOIN g ON graph = graph_id WHERE contains(cmd, 'Rob')"""
+    UNION ALL SELECT run, cmd, rob, solver, NULL, name FROM s JOIN i ON related = id JOIN g ON graph = graph_id WHERE contains(cmd, 'bin/Rob ')"""
 )
 def joined_results(spark, sf_dir):
     key = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 25).otherwise(F.col("o_custkey"))
@@ -190,7 +190,7 @@ def joined_results(spark, sf_dir):
     graphs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("graph_id"), F.col("n_name").alias("name"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("imm_id"), F.col("c_nationkey").cast("long").alias("graph"), F.col("c_mktsegment").alias("solver"))
     requests = customers.select(F.col("imm_id").alias("sim_id"), "graph", F.lit("yes").alias("simulated"))
-    return res.joined_results(seeding, customers, requests, graphs).select("run", "cmd", "rob", "solver", "simulated", "name")
+    return res.joined_results(seeding, customers, requests, graphs, robust="Robust").select("run", "cmd", "rob", "solver", "simulated", "name")
 
 
 @query(f"SELECT o_orderkey, CAST(regexp_extract({CMD}, '-s ([0-9]+)', 1) AS BIGINT) AS seeds, instr({CMD}, 'Rob') > 0 AS is_rob FROM orders")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.transforms import both_directions, relabel, without_loops
+from ..operators.transforms import block, both_directions, relabel, without_loops
+from ..runtime import numbered
 
 #: How each public edge-list layout is read: a regular expression of header lines, lines to skip, and flags.
 LAYOUTS: dict[str, dict] = {
@@ -82,8 +83,6 @@ def solution(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def seed_file(spark: SparkSession, path: str) -> DataFrame:
     """pos, node of one id per line."""
     rows = spark.read.text(path).filter(F.trim("value") != "")
-    from ..runtime import numbered
-
     return numbered(rows.withColumn("_i", F.monotonically_increasing_id()), [F.col("_i")], "pos").select("pos", F.trim("value").cast("long").alias("node"))
 
 
@@ -127,8 +126,6 @@ def write_graph(edges: DataFrame, folder: str, graph_id: str, **attrs) -> None:
 
 def write_solution(edges: DataFrame, blocked: list[int], solver: str, path: str, static: bool = False) -> None:
     """Solution JSON: the order, and the edges with neither end blocked as flat pairs with weights (1 if ``static``)."""
-    from ..operators.transforms import block
-
     spark = edges.sparkSession
     left = block(edges, spark.createDataFrame([(v,) for v in blocked], "node long"))
     rows = F.array_sort(F.collect_list(F.struct("src", "dst", (F.lit(1.0) if static else F.col("weight")).alias("weight"))))

@@ -49,11 +49,11 @@ def test_interpolation(spark):
 
 
 def test_result_shapes(spark):
-    seeding = spark.createDataFrame([("1", "x SatGreedy", "g", 1.0), ("2", "x Simulator", "s", 2.0), ("3", "x Rob", "i", 3.0), ("4", "x Rob", "none", 3.0)], "run string, cmd string, related_obj_id string, n double")
+    seeding = spark.createDataFrame([("1", "x Robust", "g", 1.0), ("2", "x Simulator", "s", 2.0), ("3", "x Rob", "i", 3.0), ("4", "x Rob", "none", 3.0)], "run string, cmd string, related_obj_id string, n double")
     graphs = spark.createDataFrame([("g", 50)], "graph_id string, n int")
     immunization = spark.createDataFrame([("i", "g", "Degree")], "imm_id string, graph string, solver string")
     simulations = spark.createDataFrame([("s", "g", 5)], "sim_id string, graph string, blocked int")
-    got = {r["run"]: r for r in res.joined_results(seeding, immunization, simulations, graphs).collect()}
+    got = {r["run"]: r for r in res.joined_results(seeding, immunization, simulations, graphs, robust="Robust").collect()}
     assert set(got) == {"1", "2", "3"} and all(r["n"] == 50 for r in got.values()) and got["3"]["solver"] == "Degree" and got["2"]["blocked"] == 5
     frame = spark.createDataFrame([("r", 10, ([0.1, 0.2],), None)], "run string, n int, sat struct<objectives:array<double>>, one struct<objectives:array<double>>")
     assert [tuple(r) for r in res.unfolded(frame, ["run"], ["sat", "one"], "n").collect()] == [("r", "sat", [1.0, 2.0])]
