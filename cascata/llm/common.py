@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, fresh_folder, shared_folder
 
-__all__ = ["CHUNK_BYTES", "chunks", "crc_bucket", "cut", "documents", "fresh_folder", "ranges", "same", "shared_folder", "text_view"]
+__all__ = ["CHUNK_BYTES", "chunks", "crc_bucket", "cut", "documents", "fresh_folder", "in_fewer_files", "ranges", "same", "shared_folder", "text_view"]
 
 #: Bytes of text that a kernel looks at in one numpy call; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
@@ -49,6 +49,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def in_fewer_files(df: DataFrame, by: int = 8) -> DataFrame:
+    """A shuffle's result in an eighth of its partitions: for narrow rows, whose partitions make tiny files.
+
+    Each task reads its partitions one after the other, so it needs no more memory than one of them.
+    """
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -6,7 +6,8 @@ they build over a group (a suffix array, a suffix tree).
 1. *Tiles.*  Every window of W symbols has an anchor: its leftmost smallest q-gram by hash.  Consecutive
    windows with one anchor form a tile.  Equal windows have equal anchors at equal offsets, so only tiles
    whose anchor hash occurs more than once can hold a repeated window; this loses nothing.
-2. *Distinct tiles.*  Tiles are pre-aggregated by (anchor, content hash).  An anchor with one distinct
+2. *Distinct tiles.*  Tiles are pre-aggregated by (anchor, content hash), first within each document, where a
+   periodic text repeats them.  An anchor with one distinct
    content needs no index: all its windows repeat.  For the others one occurrence of each distinct content
    is fetched from its document.
 3. *Groups.*  Distinct contents of one anchor go to one task, where the kernel indexes them.  Anchors with
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh_folder, ranges, same, text_view
-from .wordhash import span_hashes
+from .common import chunks, fresh_folder, in_fewer_files, ranges, same, text_view
+from .wordhash import Hashed, span_hashes
 
 #: Distinct contents of an anchor from which on blocks of BLOCK windows, and single windows, are keyed on their own.
 MANY, VAST, BLOCK = 2_000, 100_000, 16
@@ -78,29 +79,37 @@ def tiles(symbols: Symbols, window: int, gram: int) -> tuple[np.ndarray, ...]:
     total = len(values)
     for a in range(0, max(0, total - window + 1), _SLAB):
         part = values[a : min(total, a + _SLAB + window - 1)]
-        n = len(part)
-        at = np.arange(n - gram + 1)
-        grams = span_hashes(part, at, at + gram)
-        low = (grams & ~_POSITION) | at.astype(np.uint64)
+        hashed = Hashed(part)
+        grams = hashed.grams(gram)
+        low = grams & ~_POSITION
+        low |= np.arange(len(grams), dtype=np.uint64)
         have = 1
         while 2 * have <= span:
             low = np.minimum(low[:-have], low[have:])
             have *= 2
         if have < span:
             low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
-        anchor = (low & _POSITION).astype(np.int64)  # of the window at each start
-        starts = np.arange(len(anchor))
-        doc = np.searchsorted(offsets, a + starts, side="right") - 1
-        fits = a + starts + window <= offsets[doc + 1]
-        starts, anchor, doc = starts[fits], anchor[fits], doc[fits]
+        # windows that would cross into the next document do not count
+        border = np.zeros(len(low) + 1, np.int8)
+        inner = offsets[1:-1][(offsets[1:-1] > a) & (offsets[1:-1] < a + len(part))] - a
+        inner = np.unique(inner)
+        first = np.maximum(inner - window + 1, 0)
+        first[1:] = np.maximum(first[1:], inner[:-1])
+        np.add.at(border, np.minimum(first, len(low)), 1)
+        np.add.at(border, np.minimum(inner, len(low)), -1)
+        starts = np.flatnonzero(np.cumsum(border[:-1], dtype=np.int8) == 0)
         if not len(starts):
             continue
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
-        head = np.flatnonzero(new)
+        own = low[starts]  # hash bits and position of each window's anchor
+        new = own[1:] != own[:-1]
+        new |= np.diff(starts) != 1
+        head = np.append(0, np.flatnonzero(new) + 1)
         first = starts[head]
         count = np.diff(np.append(head, len(starts)))
-        content = span_hashes(part, first, first + count + window - 1)
-        out.append((doc[head], grams[anchor[head]].view(np.int64), content.view(np.int64), a + first - offsets[doc[head]], count, anchor[head] - first))
+        anchor = (own[head] & _POSITION).astype(np.int64)
+        doc = np.searchsorted(offsets, a + first, side="right") - 1
+        content = hashed.spans(first, first + count + window - 1)
+        out.append((doc, grams[anchor].view(np.int64), content.view(np.int64), a + first - offsets[doc], count, anchor - first))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -112,16 +121,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _tile_rows(docs: DataFrame, spec: Spec) -> DataFrame:
+    """One row per document, anchor and content; ``more`` has the further starts in periodic texts, else null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_view(batch.column(2))
             for lo, hi in chunks(offsets):
-                found = tiles(spec.symbols(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), spec.window, spec.gram)
-                rows = pa.array(found[0] + lo)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *[pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(found[1:], kinds)]], names=["doc_id", "text_key", "anchor", "content", "start", "count", "distance"])
-
-    return docs.mapInArrow(run, "doc_id long, text_key long, anchor long, content long, start int, count int, distance int")
+                doc, anchor, content, start, count, distance = tiles(spec.symbols(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), spec.window, spec.gram)
+                order = np.lexsort((start, content, anchor, doc))
+                same_as_last = np.zeros(len(order), bool)
+                key = np.stack([doc, anchor, content], 1)[order]
+                same_as_last[1:] = (key[1:] == key[:-1]).all(1)
+                head = np.flatnonzero(~same_as_last)
+                further = start[order[same_as_last]].astype(np.int32)
+                sizes = np.diff(np.append(head, len(order))) - 1
+                at = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                more = pa.ListArray.from_arrays(pa.array(at, mask=np.append(sizes == 0, False)), pa.array(further)) if len(head) else pa.array([], pa.list_(pa.int32()))
+                own = order[head]
+                rows = pa.array(doc[own] + lo)
+                small = lambda c: pa.array(c[own].astype(np.int32))  # noqa: E731, B023
+                yield pa.record_batch(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor[own]), pa.array(content[own]), small(start), small(count), small(distance), more],
+                    names=["doc_id", "text_key", "anchor", "content", "start", "count", "distance", "more"],
+                )
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, anchor long, content long, start int, count int, distance int, more array<int>")
 
 
 def split(p: Pieces, window: int, block: int) -> tuple[Pieces, np.ndarray, np.ndarray]:
@@ -240,10 +264,10 @@ def _indexed(pieces: DataFrame, spec: Spec, dtype: str) -> DataFrame:
     return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "anchor long, content long, first long, length long, value long")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again."""
+def stored(df: DataFrame, name: str, summed: bool = True) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again; summed: few narrow rows after an aggregation."""
     path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (in_fewer_files(df, 4) if summed else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -255,13 +279,14 @@ def covered_runs(docs: DataFrame, spec: Spec) -> DataFrame:
     """
     docs = _keyed(docs)
     found = _tile_rows(docs, spec)
-    count = F.count(F.lit(1))
+    count = F.sum(F.coalesce(F.array_size("more"), F.lit(0)) + 1)
     repeated = (F.min("doc_id").eqNullSafe(F.max("doc_id")) == F.lit(False)) | F.max(F.col("doc_id").isNull()) if spec.by_id else count > 1
-    anchors = found.groupBy("anchor").agg(repeated.alias("again"), count.alias("n")).filter("again AND n > 1").select("anchor")
-    occurrences = stored(found.join(anchors, "anchor"), "tiles")
+    # stored, so that the join deals out both sides anew and may split a frequent anchor's partition
+    anchors = stored(found.groupBy("anchor").agg(repeated.alias("again"), count.alias("n")).filter("again AND n > 1").select("anchor"), "anchors")
+    occurrences = stored(found.join(anchors, "anchor"), "tiles", summed=False)
     first = F.min(F.struct("doc_id", "text_key", "start", "count", "distance"))
     kinds = stored(occurrences.groupBy("anchor", "content").agg(count.alias("n"), F.min("doc_id").alias("least"), first.alias("rep")), "contents")
-    many = kinds.groupBy("anchor").agg(count.alias("kinds"))
+    many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     kinds = kinds.join(many, "anchor")
     value = F.coalesce("least", F.lit((1 << 63) - 1)) if spec.by_id else F.col("n")
     single = kinds.filter("kinds = 1").select("anchor", "content", F.lit(0).cast("long").alias("first"), F.col("rep.count").cast("long").alias("length"), value.cast("long").alias("value"))
@@ -274,11 +299,15 @@ def covered_runs(docs: DataFrame, spec: Spec) -> DataFrame:
     own = single if not spec.by_id else single.union(several.select("anchor", "content", F.lit(0).cast("long"), F.col("count").cast("long"), "value"))
     if not spec.by_id:
         own = own.union(several.filter("value > 1").select("anchor", "content", F.lit(0).cast("long"), F.col("count").cast("long"), "value"))
-    masks = own.union(runs)
+    # one row per content, which has at most a window's number of runs, so an occurrence meets one row
+    masks = stored(own.union(runs).groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "length", "value")).alias("found")), "masks")
     hits = occurrences.join(masks, ["anchor", "content"])
-    if spec.by_id:
-        hits = hits.filter(F.col("value") < F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    return hits.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("first"), F.col("length"))).alias("runs"))
+    own_id = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    wanted_runs = F.filter("found", lambda r: r["value"] < own_id) if spec.by_id else F.col("found")
+    starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<int>")))
+    moved = F.flatten(F.transform(starts, lambda s: F.transform(wanted_runs, lambda r: F.struct((s + r["first"]).alias("first"), r["length"].alias("length")))))
+    rows = hits.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), moved.alias("runs")).filter(F.size("runs") > 0)
+    return rows.groupBy("w_id", "w_key").agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def cover(runs: list[tuple[int, int]], window: int, n: int) -> np.ndarray:
