@@ -167,6 +167,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: of the smallest doc_id, that with the smallest text hash."""
     classes = near_duplicates(docs)
     first = classes.filter(same(F.col("doc_id"), F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).agg(F.min("text_key").alias("keep_key"))
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.join(first, same(docs["doc_id"].cast("long"), first["keep_id"]) & (key == first["keep_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    # ids that are null go their own way, and the keys are compared after the join (an equality would become a
+    # join key), so that one shuffle by id serves both the join and the repeated rows
+    named = docs.join(first, docs["doc_id"] == first["keep_id"]).filter(key.bitwiseXOR(first["keep_key"]) == 0).select(*[docs[c] for c in docs.columns])
+    nameless = docs.filter(docs["doc_id"].isNull()).join(first.filter("keep_id IS NULL"), key == first["keep_key"], "left_semi")
+    return named.dropDuplicates(["doc_id"]).union(nameless.dropDuplicates(["doc_id"]))
