@@ -33,8 +33,9 @@ PATTERN = (
     rf"| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
 
-#: Entries of each of a worker's two caches; a full cache is emptied. Longer keys are not kept.
-CACHE_ENTRIES, CACHE_KEY = 1 << 17, 64
+#: Entries of a generation of a worker's cache of runs; when it is full it becomes the old generation, whose
+#: entries come back when they are used again. Longer keys are not kept.
+CACHE_ENTRIES, CACHE_KEY = 1 << 18, 64
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -76,7 +77,8 @@ class Bpe:
         self.runs = regex.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.by_run: dict[str, bytes] = {}
-        self.by_pre_token: dict[str, bytes] = {}
+        self.by_run_old: dict[str, bytes] = {}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.token}
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether encoding a's and b's bytes together gives [a, b].
@@ -101,18 +103,21 @@ class Bpe:
                 limit, b = (right, 2), parts[b][0]
 
     def encode_bytes(self, word: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        n = len(word)
+        """Ids of one pre-token.
+
+        A pre-token that is in the vocabulary is its own last token, as the longest match starts at 0.
+        """
         whole = self.id_of.get(word)
-        if n == 1 and whole is not None:
+        if whole is not None:
             return [whole]
+        n = len(word)
+        compatible = self.compatible
         last: list[tuple[int, int] | None] = [None] * n  # of the prefix that ends after byte e: (token, start)
         for e, (size, token) in self.matches(word.decode("latin-1")):
-            if last[e] is not None:
-                continue
-            start = e + 1 - size
-            if start == 0 or ((before := last[start - 1]) is not None and self.compatible(before[0], token)):
-                last[e] = (token, start)
+            if last[e] is None:
+                start = e + 1 - size
+                if start == 0 or ((before := last[start - 1]) is not None and compatible(before[0], token)):
+                    last[e] = (token, start)
         out, e = [], n
         while e:
             token, e = last[e - 1]
@@ -120,20 +125,13 @@ class Bpe:
         return out[::-1]
 
     def _run(self, run: str) -> bytes:
-        ids = []
-        for word in self.pre_tokens(run):
-            packed = self.by_pre_token.get(word)
-            if packed is None:
-                packed = np.array(self.encode_bytes(word.encode()), "<u4").tobytes()
-                if len(word) <= CACHE_KEY:
-                    if len(self.by_pre_token) >= CACHE_ENTRIES:
-                        self.by_pre_token.clear()
-                    self.by_pre_token[word] = packed
-            ids.append(packed)
-        packed = b"".join(ids)
+        packed = self.by_run_old.get(run)
+        if packed is None:
+            ids = [i for word in self.pre_tokens(run) for i in self.encode_bytes(word.encode())]
+            packed = b"".join(map(self.packed.__getitem__, ids))
         if len(run) <= CACHE_KEY:
             if len(self.by_run) >= CACHE_ENTRIES:
-                self.by_run.clear()
+                self.by_run, self.by_run_old = {}, self.by_run
             self.by_run[run] = packed
         return packed
 
@@ -144,8 +142,13 @@ class Bpe:
             if k % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
                 continue
-            known, make = self.by_run.get, self._run
-            out += [known(run) or make(run) for run in self.runs(part)]
+            known, make = self.by_run, self._run
+            for run in self.runs(part):
+                packed = known.get(run)
+                if packed is None:
+                    packed = make(run)
+                    known = self.by_run
+                out.append(packed)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
