@@ -28,7 +28,9 @@ from .wordhash import alphanumeric_words, document_words, lower_table, shingle_h
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Bytes of item text that one pass over the documents carries; a larger benchmark takes several passes.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+#: Items whose shingles a worker keeps ready for verification.
+READY_ITEMS = 4096
 SCHEMA = "doc_id long, item_id long, shared long, n_shingles long, containment double"
 _WORDS, _LOWER = alphanumeric_words(), lower_table()
 
@@ -62,10 +64,10 @@ class SizePartition:
 
 
 class Sketches:
-    """All items of one block, in size partitions, with their shingles for verification."""
+    """All items of one block, in size partitions, with their texts for verification."""
 
     def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, width: int = WIDTH):
-        self.ids, self.shingles, self.need, self.width = [], [], [], []
+        self.ids, self.texts, self.size, self.need, self.width = [], [], [], [], []
         groups: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         least: dict[tuple[int, int], int] = {}
         for item, text in items:
@@ -82,13 +84,23 @@ class Sketches:
             groups[key] += [(int(h), len(self.ids)) for h in hashes[: q - need + 1]]
             least[key] = min(least.get(key, need), need)
             self.ids.append(item)
-            self.shingles.append(shingles)
+            self.texts.append((text or "").encode())
+            self.size.append(q)
             self.need.append(need)
             self.width.append(own)
         self.partitions = []
         for key, pairs in sorted(groups.items()):
             pairs.sort()
             self.partitions.append(SizePartition(key[0], least[key], np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs])))
+        self.ready: dict[int, set[tuple[bytes, ...]]] = {}
+
+    def shingles(self, i: int) -> set[tuple[bytes, ...]]:
+        """The shingles of item number i, made when a candidate first needs them."""
+        if i not in self.ready:
+            if len(self.ready) >= READY_ITEMS:
+                self.ready.clear()
+            self.ready[i] = shingles_of(words_of(self.texts[i]), self.width[i])
+        return self.ready[i]
 
     def search(self, column: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item number, shared shingles) of every row and item at the threshold."""
@@ -120,7 +132,7 @@ class Sketches:
                 for width in {self.width[i] for i in own}:
                     there = shingles_of(tokens, width)
                     for i in own:
-                        if self.width[i] == width and (shared := len(self.shingles[i] & there)) >= self.need[i]:
+                        if self.width[i] == width and (shared := len(self.shingles(i) & there)) >= self.need[i]:
                             found.append((lo + row, i, shared))
         return found
 
@@ -155,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
                     found = own.search(part.column(1))
-                    q = [len(own.shingles[i]) for _, i, _ in found]
+                    q = [own.size[i] for _, i, _ in found]
                     yield pa.record_batch(
                         [
                             part.column(0).take(pa.array([r for r, _, _ in found], pa.int64())),
