@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, same
+from .common import cut
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -148,7 +148,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and text_key of every row.
+    """doc_id, fingerprint (16 hex digits), component_id, text_key and root (one value a component) of every row.
 
     component_id is the smallest doc_id that links can reach, itself included; a null doc_id is never the
     smallest unless there is no other.  Texts without words have fingerprint zero and are linked like any
@@ -159,17 +159,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected_components(links(nodes.select("fp")))
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(by_fp, rows["fp"] == by_fp["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
+    by_fp = labelled.join(least, "root").select(F.col("fp").alias("f"), "component_id", "root")
+    return rows.join(by_fp, rows["fp"] == by_fp["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: of the smallest doc_id, that with the smallest text hash."""
     classes = near_duplicates(docs)
-    first = classes.filter(same(F.col("doc_id"), F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).agg(F.min("text_key").alias("keep_key"))
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    first = classes.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("keep_id"), F.col("x.text_key").alias("keep_key"))
+    mark = "text_key" + "_" * max(map(len, docs.columns), default=0)
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
     # ids that are null go their own way, and the keys are compared after the join (an equality would become a
     # join key), so that one shuffle by id serves both the join and the repeated rows
-    named = docs.join(first, docs["doc_id"] == first["keep_id"]).filter(key.bitwiseXOR(first["keep_key"]) == 0).select(*[docs[c] for c in docs.columns])
-    nameless = docs.filter(docs["doc_id"].isNull()).join(first.filter("keep_id IS NULL"), key == first["keep_key"], "left_semi")
-    return named.dropDuplicates(["doc_id"]).union(nameless.dropDuplicates(["doc_id"]))
+    named = marked.join(first, marked["doc_id"] == first["keep_id"]).filter(F.col(mark).bitwiseXOR(F.col("keep_key")) == 0).drop("keep_id", "keep_key")
+    nameless = marked.filter(marked["doc_id"].isNull()).join(first.filter("keep_id IS NULL"), F.col(mark) == F.col("keep_key"), "left_semi")
+    return named.dropDuplicates(["doc_id", mark]).union(nameless.dropDuplicates([mark])).select(*docs.columns)

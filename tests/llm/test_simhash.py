@@ -90,6 +90,14 @@ def test_keep_one(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def test_keep_one_of_nameless_components_and_of_texts_that_share_an_id(spark):
+    rng = random.Random(6)
+    texts = [words(rng, 60, 9000) for _ in range(8)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (1, texts[5]), (1, texts[6]), (1, texts[6]), (2, texts[7]), (None, texts[7])]
+    kept = simhash.keep_one(docs_frame(spark, rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted({*rows[:5], (1, texts[5]), (1, texts[6]), (2, texts[7])}, key=str)
+
+
 def test_chain_is_one_component(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     found = connected_components(edges)
