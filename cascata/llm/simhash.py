@@ -10,6 +10,8 @@ which connects what the links connect, and components are found on the distribut
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -163,9 +165,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(by_fp, rows["fp"] == by_fp["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key", "root")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns: of the smallest doc_id, that with the smallest text hash."""
-    classes = near_duplicates(docs)
+def keep_one(docs: DataFrame, components: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """One document of each component, with all its columns: of the smallest doc_id, that with the smallest text hash.
+
+    ``components`` gives the doc_id, text_key and root of every row.
+    """
+    classes = components(docs)
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
     first = classes.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("keep_id"), F.col("x.text_key").alias("keep_key"))
     mark = "text_key" + "_" * max(map(len, docs.columns), default=0)
