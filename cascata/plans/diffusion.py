@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..coins import happens_sql, u32_sql
@@ -443,20 +444,24 @@ def rewired_assortativity(spark, sf_dir):
 
 @query()
 def greedy_removal_order(spark, sf_dir):
-    """Removals that each keep the expected largest reach highest, on the densest part of the trade graph."""
+    """Removals that each keep the expected largest reach highest, on the whole trade graph, until three nodes are left."""
     from ..operators.search import greedy_removal
 
-    edges = trade(spark, sf_dir).filter("src < 8 AND dst < 8").cache()
-    live = worlds.live_ic(edges, TRADE_DEN, 5).cache()
-    ids = [r["id"] for r in transforms.nodes(edges).collect()]  # at most 8 nodes
+    edges = trade(spark, sf_dir).cache()
+    ids = sorted(r["id"] for r in transforms.nodes(edges).collect())  # nations
+    place = {v: i for i, v in enumerate(ids)}
+    reach = np.repeat(np.eye(len(ids), dtype=bool)[None], 5, 0)
+    for r in worlds.live_ic(edges, TRADE_DEN, 5).select("world", "src", "dst").collect():
+        reach[r["world"], place[r["src"]], place[r["dst"]]] = True
 
     def score(gone):
-        rest = [v for v in ids if v not in gone]
-        order = spark.createDataFrame([(v, i) for i, v in enumerate(rest)], "node long, rank int")
-        kept = live.filter(~F.col("src").isin(gone) & ~F.col("dst").isin(gone))
-        return kernels.max_reach(kept, order, 5).filter("l = 0").agg(F.avg("max_reach")).first()[0]
+        rest = [place[v] for v in ids if v not in gone]
+        now = reach[:, rest][:, :, rest]
+        for _ in range(len(rest).bit_length()):
+            now = now @ now
+        return float(now.sum(2).max(1).mean())
 
-    found = greedy_removal(ids, score, 1)
+    found = greedy_removal(ids, score, max(0, len(ids) - 3))
     return spark.createDataFrame([(i, v, s) for i, (v, s) in enumerate(found)], "pos int, node long, value double")
 
 

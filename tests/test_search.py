@@ -60,3 +60,31 @@ def test_time_limit(spark):
     slow = spark.range(0, 4, 1, 4).mapInPandas(lambda it: (time.sleep(30) or p for p in it), "id long")
     with pytest.raises(TimeoutError):
         tables.within(spark, 1, slow.count)
+
+
+def test_greedy_removal_order_of_the_whole_trade_graph(spark, sf_dir):
+    from cascata.operators import worlds
+    from cascata.plans.diffusion import TRADE_DEN, greedy_removal_order
+    from cascata.sources.derived import trade
+
+    edges = trade(spark, sf_dir)
+    out = [{} for _ in range(5)]
+    for r in worlds.live_ic(edges, TRADE_DEN, 5).collect():
+        out[r["world"]].setdefault(r["src"], set()).add(r["dst"])
+    left = {v for r in edges.collect() for v in (r["src"], r["dst"])}
+
+    def reached(own, rest, at):
+        seen, todo = {at}, [at]
+        while todo:
+            new = own.get(todo.pop(), set()) & rest - seen
+            seen |= new
+            todo += new
+        return len(seen)
+
+    expected = []
+    while len(left) > 3:
+        value, node = max((sum(max(reached(own, left - {v}, s) for s in left - {v}) for own in out) / 5, -v) for v in left)
+        expected.append((len(expected), -node, value))
+        left.remove(-node)
+    assert [tuple(r) for r in greedy_removal_order(spark, sf_dir).orderBy("pos").collect()] == expected
+    assert len(expected) == 22
