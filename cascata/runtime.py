@@ -19,16 +19,34 @@ def shared_folder(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if not path:
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="cascata-")
     if not current.isDefined():
         sc.setCheckpointDir(path)
     return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
 
 
+#: Shuffle files of a plan are of no use once its result is in the shared folder.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and return it with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder and return it with its lineage cut.
+
+    The plan's size estimate goes too: a join's is the product of its sides', so a loop would square it, and
+    double its digits, with every round.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        done = df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    fresh = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(fresh, spark)
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
