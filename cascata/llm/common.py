@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, fresh_folder, shared_folder
 
-__all__ = ["CHUNK_BYTES", "chunks", "crc_bucket", "cut", "documents", "fresh_folder", "in_fewer_files", "ranges", "same", "shared_folder", "text_view"]
+__all__ = ["CHUNK_BYTES", "chunks", "crc_bucket", "cut", "documents", "fresh_folder", "in_fewer_files", "ranges", "same", "shared_folder", "text_view", "whole_groups"]
 
 #: Bytes of text that a kernel looks at in one numpy call; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
@@ -49,6 +49,34 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def whole_groups(batches, keys: tuple[str, ...]):
+    """(table, offsets) of whole groups of rows that come sorted by integer keys; group g is rows offsets[g] to offsets[g + 1]."""
+
+    def closed(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        own = np.stack([table.column(c).to_numpy() for c in keys], 1)
+        return table, np.concatenate(([0], np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1, [len(own)]))
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([batch.column(c).to_numpy() for c in keys], 1)
+        changes = np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1
+        if len(changes) or (held and (own[0] != last).any()):
+            border = int(changes[-1]) if len(changes) else 0
+            if border:
+                held.append(batch.slice(0, border))
+            if held:
+                yield closed(held)
+            held = []
+            batch = batch.slice(border)
+        held.append(batch)
+        last = own[-1]
+    if held:
+        yield closed(held)
+
+
 def in_fewer_files(df: DataFrame, by: int = 8) -> DataFrame:
     """A shuffle's result in an eighth of its partitions: for narrow rows, whose partitions make tiny files.
 

@@ -1,7 +1,8 @@
 """SimHash near-duplicates (operator 8).
 
 Fingerprints within 4 bits of each other are linked, exactly.  Two such fingerprints agree on at least
-one of five blocks of bits, so the distinct fingerprints are dealt out by each block's value, and every
+one of five blocks of bits (on two of six, three of seven and so on for more fingerprints, so that buckets
+do not grow), so the distinct fingerprints are dealt out by each block's value, and every
 bucket is compared tile by tile: numpy exclusive-or and bit counts over tiles that are sorted by
 population count, where tile pairs whose counts differ by more than the radius are skipped.  A large
 bucket is dealt out as pairs of parts of bounded size.  Every task gives a spanning forest of its links,
@@ -11,6 +12,7 @@ which connects what the links connect, and components are found on the distribut
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_groups
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints of a tile, and of a part of a bucket.
-TILE, PART = 1024, 8192
+#: Fingerprints of a tile, of a part of a bucket, and of a bucket if they are evenly spread.
+TILE, PART, BUCKET = 512, 8192, 1024
 
 
 def fingerprint(raw: bytes) -> int:
@@ -61,92 +63,108 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def blocks(fp, radius: int = RADIUS):
-    """radius + 1 (number, value) blocks of bits; close fingerprints agree on at least one."""
-    bounds = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << b - a) - 1)).alias("value")) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))])
+def blocks(fp, radius: int = RADIUS, pick: int = 1):
+    """(number, value) keys; fingerprints within the radius agree on at least one.
 
+    Of radius + pick blocks of bits at most radius differ, so the two agree on some choice of ``pick`` blocks.
+    """
+    bounds = [64 * k // (radius + pick) for k in range(radius + pick + 1)]
+    masks = [sum((1 << bounds[k + 1]) - (1 << bounds[k]) for k in chosen) for chosen in combinations(range(radius + pick), pick)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return F.array(*[F.struct(F.lit(k).cast("long").alias("block"), fp.bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for k, m in enumerate(masks)])
+
+
+def blocks_to_pick(n: int, radius: int = RADIUS, fill: int = BUCKET) -> int:
+    """Blocks that a key joins, so that ``n`` evenly spread fingerprints give buckets of at most ``fill``."""
+    pick = 1
+    while pick < 8 and n > fill << 64 * pick // (radius + pick):
+        pick += 1
+    return pick
 
-class Forest:
-    """Union-find over positions; keeps the links that joined two trees."""
 
-    def __init__(self, n: int):
-        self.parent = list(range(n))
+class Labels:
+    """Component labels of positions, merged a row at a time; keeps the links that joined two components."""
+
+    def __init__(self, labels: np.ndarray):
+        self.of = labels.copy()
         self.links: list[tuple[int, int]] = []
 
-    def find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Link position i with each of the others."""
+        others = others[self.of[others] != self.of[i]]
+        if len(others):
+            old, first = np.unique(self.of[others], return_index=True)
+            self.links += [(i, int(j)) for j in others[first]]
+            self.of[np.isin(self.of, old)] = self.of[i]
+
 
-    def link(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.links.append((i, j))
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of every row of ``a`` and every row of ``b``, of k 64-bit words each."""
+    far = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        far += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return far
+
+
+def near_tiles(fps: np.ndarray, radius: int, tile: int = TILE):
+    """(lo, at, near) of every pair of tiles; near[i, j]: positions lo + i < at + j differ by at most ``radius`` bits.
+
+    Tile pairs whose population counts lie further apart are skipped.
+    """
+    pop = np.bitwise_count(fps).sum(1, dtype=np.int64)
+    edges = np.arange(0, len(fps), tile)
+    low, high = np.minimum.reduceat(pop, edges), np.maximum.reduceat(pop, edges)
+    for x, lo in enumerate(edges.tolist()):
+        for y in np.flatnonzero((low[x:] - high[x] <= radius) & (low[x] - high[x:] <= radius)).tolist():
+            at = int(edges[x + y])
+            near = distances(fps[lo : lo + tile], fps[at : at + tile]) <= radius
+            yield lo, at, np.triu(near, 1) if not y else near
 
 
 def compare(fps: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The fingerprints sorted by population count, and a spanning forest of the links among them."""
-    pop = np.bitwise_count(fps)
-    order = np.argsort(pop, kind="stable")
-    fps, pop = fps[order], pop[order].astype(int)
-    forest = Forest(len(fps))
-    for lo in range(0, len(fps), tile):
-        a = fps[lo : lo + tile]
-        for at in range(lo, len(fps), tile):
-            if pop[at] - pop[min(lo + tile, len(fps)) - 1] > radius:
-                break
-            b = fps[at : at + tile]
-            near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
-            for i, j in zip(*np.nonzero(np.triu(near, 1) if at == lo else near)):
-                forest.link(lo + int(i), at + int(j))
-    return fps, forest.links
+    fps = fps[np.argsort(np.bitwise_count(fps), kind="stable")]
+    found = Labels(np.arange(len(fps)))
+    for lo, at, near in near_tiles(fps[:, None], radius, tile):
+        for i in np.flatnonzero(near.any(1)).tolist():
+            found.join(lo + i, at + np.flatnonzero(near[i]))
+    return fps, found.links
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
-    """a, b: links that connect what all links between the distinct ``fp`` of ``nodes`` connect."""
-    rows = nodes.select("fp", F.explode(blocks(F.col("fp"), radius)).alias("x")).select("fp", "x.block", "x.value")
-    counts = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") * 2 / part).cast("int"))
-    dealt = rows.join(counts, ["block", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # in a bucket of several parts, each pair of parts meets once
-    dealt = dealt.select("fp", "block", "value", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("fp", "block", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+def deal(rows: DataFrame, keys: list[str], member: str, part: int = PART) -> DataFrame:
+    """Rows of the buckets with several rows, with x and y: a bucket of more than ``part`` rows is dealt out as pairs of
+    parts, where each pair meets once, and a smaller one is the pair (0, 0)."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumn("_parts", F.ceil(F.col("_n") * 2 / part).cast("int"))
+    own = F.pmod(F.xxhash64(member), F.col("_parts")).cast("int")
+    dealt = rows.join(counts, keys).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.withColumn("x", F.least("_own", "_other").cast("long")).withColumn("y", F.greatest("_own", "_other").cast("long"))
+    return dealt.drop("_n", "_parts", "_own", "_other")
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        key = None
-        out: list[np.ndarray] = []
 
-        def close():
-            fps = np.concatenate(held)
-            if len(fps) > 1:
-                fps, pairs = compare(fps, radius)
-                if pairs:
-                    out.append(fps[np.array(pairs)])
+def pair_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (a, b) of arrays of unsigned or signed pairs."""
+    both = np.concatenate(pairs).view(np.int64) if pairs else np.zeros((0, 2), np.int64)
+    return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "value", "x", "y")], 1)
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)])) if len(keys) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if key is not None and key != tuple(keys[a]):
-                    close()
-                    held = []
-                key = tuple(keys[a])
-                held.append(fps[a:b])
-            if out:
-                pairs, out = np.concatenate(out).view(np.int64), []
-                yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-        if held:
-            close()
-        pairs = np.concatenate(out).view(np.int64) if out else np.zeros((0, 2), np.int64)
-        yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
+def links(nodes: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
+    """a, b: links that connect what all links between the distinct ``fp`` of ``nodes`` connect."""
+    keyed = F.explode(blocks(F.col("fp"), radius, blocks_to_pick(nodes.count(), radius)))
+    rows = nodes.select("fp", keyed.alias("k")).select("fp", "k.block", "k.value")
     keys = ["block", "value", "x", "y"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+    def run(batches):
+        for table, offsets in whole_groups(batches, tuple(keys)):
+            fps = table.column("fp").to_numpy().view(np.uint64)
+            out = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                if b - a > 1:
+                    own, found = compare(fps[a:b], radius)
+                    if found:
+                        out.append(own[np.array(found)])
+            yield pair_batch(out)
+
+    return deal(rows, ["block", "value"], "fp", part).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

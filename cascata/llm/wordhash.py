@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -60,6 +62,19 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return mix(raw + (ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
 
 
+#: Bytes from which on a word is hashed as a whole: the sums of powers above tell short spans apart, but long ones exist
+#: that are different and alike under every odd multiplier.
+LONG_WORD = 256
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every word; BLAKE2b of long ones."""
+    out = span_hashes(buf, starts, ends)
+    for k in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Hashed:
     """A symbol sequence whose grams and spans are hashed from one pass; hashes equal those of span_hashes()."""
 

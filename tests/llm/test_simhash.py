@@ -72,10 +72,10 @@ def test_compare_skips_nothing_within_the_radius():
     fps = rng.integers(0, 1 << 20, 3000, dtype=np.uint64)
     fps = np.unique(fps)
     ordered, links = simhash.compare(fps, 2, tile=128)
-    parent = simhash.Forest(len(fps))
+    parent = simhash.Labels(np.arange(len(fps)))
     near = np.bitwise_count(ordered[:, None] ^ ordered[None, :]) <= 2
     for i, j in zip(*np.nonzero(np.triu(near, 1))):
-        parent.link(int(i), int(j))
+        parent.join(int(i), np.array([j]))
     assert len(links) == len(parent.links)
     assert all(near[i, j] for i, j in links)
 
