@@ -1 +1 @@
-"""Cascade robustness analytics on Spark: graphs, possible worlds, seeds and removal orders as DataFrames."""
+"""Cascade resilience analytics on Spark: graphs, possible worlds, seeds and removal orders as DataFrames."""

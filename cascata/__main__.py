@@ -1,4 +1,4 @@
-"""python -m cascata EXPERIMENT.json [FOLDER]: run an experiment and print its robustness values."""
+"""python -m cascata EXPERIMENT.json [FOLDER]: run an experiment and print its resilience values."""
 
 from __future__ import annotations
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.analytics import envelope
-from .operators import immunize, kernels, robust, seeding, statistics, transforms, worlds
+from .operators import immunize, kernels, robust, seeding, sketches, statistics, transforms, worlds
 from .params import Parameters
 from .runtime import cut, fresh_folder
 from .sources.generators import generate
@@ -24,6 +24,14 @@ DEN = 1_000_000
 NAMES = {"NetShield": "Netshield", "Aquaintance": "Acquaintance"}
 
 
+#: Parameters that turn on a method of the worst-case seeding, and its objective; the best of those that are on counts.
+METHODS = (
+    (("singlegreedy", "singlegreedycelf"), lambda rr, sizes, k, s: seeding.single_greedy(rr, sizes, k)[1]),
+    (("allgreedy",), lambda rr, sizes, k, s: seeding.all_greedy(rr, sizes, k)[2]),
+    (("satgreedy",), lambda rr, sizes, k, s: seeding.saturate(rr, sizes, k, float(s.get("gamma", 0.1)))[1]),
+)
+
+
 class Experiment:
     def __init__(self, spark: SparkSession, given: dict, folder: str | None = None):
         self.spark, self.p = spark, Parameters(given)
@@ -95,26 +103,35 @@ class Experiment:
                 reach = kernels.greedy_reach(live(edges, DEN, w), order, w, int(s["seeds"]), levels)
                 parts.append(reach.groupBy("l").agg(F.avg("reach").alias("value"), F.stddev_pop("reach").alias("sd")).withColumn("strategy", F.lit(name)))
             return robust.union_all(parts)
+        seeds = int(s["seeds"])
+        model = "lt" if s.get("lt_model") else "ic"
         if s["solver"] == "Rob" or s["solver"] == "Imm":
-            r = 200
+            r = self._sketches(edges, ids, n, seeds, s, model)
             parts = []
             for name in names:
                 order = removal.filter(F.col("strategy") == name).select("node", "rank")
-                found = robust.dynamic_influence(edges, ids, order, DEN, r, levels)
+                found = robust.dynamic_influence(edges, ids, order, DEN, r, levels, seeds, model).filter(F.col("pos") == seeds - 1)
                 parts.append(found.select("l", F.col("influence").alias("value"), F.lit(None).cast("double").alias("sd"), F.lit(name).alias("strategy")))
             return robust.union_all(parts)
         if s["solver"] == "SatGreedy":
             out = []
+            r = self._sketches(edges, ids, n, seeds, s, model)
             for level in levels:
                 blocked = removal.filter(F.col("rank") < level).select("strategy", "node").union(self.spark.createDataFrame([(x, -1) for x in names], "strategy string, node long"))
-                if n - level <= s["seeds"]:
+                if n - level <= seeds:
                     out.append((level, 0.0))
                     continue
-                rr, sizes = robust.strategy_sketches(edges, ids, blocked, DEN, 200)
-                out.append((level, float(seeding.single_greedy(rr, sizes, int(s["seeds"]))[1])))
-            return self.spark.createDataFrame(out, "l int, value double").withColumns({"sd": F.lit(None).cast("double"), "strategy": F.lit("robust")})
+                rr, sizes = robust.strategy_sketches(edges, ids, blocked, DEN, r, model)
+                rr = cut(rr)
+                out.append((level, max(float(solve(rr, sizes, seeds, s)) for flags, solve in METHODS if any(s.get(f) for f in flags))))
+            return self.spark.createDataFrame(out, "l int, value double").withColumns({"sd": F.lit(None).cast("double"), "strategy": F.lit("worst")})
         raise ValueError(f"unknown solver {s['solver']!r}")
 
+    def _sketches(self, edges: DataFrame, ids: DataFrame, n: int, seeds: int, s: dict, model: str) -> int:
+        """Sketches that the solver's epsilon asks for on the whole graph."""
+        sample = lambda first, r: sketches.rr_sets(edges, ids, DEN, r, model, first).select("rr_id", "node")
+        return seeding.imm(sample, n, seeds, float(s.get("epsilon", 0.2)))[1]
+
     def results(self) -> DataFrame:
         """Result series joined with their graph's row."""
         graphs = self.store.find("graphs", self.tag).select("graph_id", F.col("params").alias("graph_params"), "n", "m")

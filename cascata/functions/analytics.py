@@ -13,7 +13,7 @@ def envelope(series: DataFrame, keys: list[str], how: str = "min") -> DataFrame:
     return series.groupBy(*keys, "l").agg((F.min if how == "min" else F.max)("value").alias("value"))
 
 
-def robustness(series: DataFrame, keys: list[str], n: int) -> DataFrame:
+def resilience(series: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Sum of the series over n."""
     return series.groupBy(*keys).agg((F.sum("value") / n).alias("rob"))
 

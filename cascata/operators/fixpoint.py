@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
@@ -16,16 +16,21 @@ from ..runtime import cut
 MAX_ROUNDS = 10_000
 
 
-def reach(frontier: DataFrame, edges: DataFrame, keys: list[str], edge_keys: list[str] | None = None) -> DataFrame:
+def reach(frontier: DataFrame, edges: DataFrame, keys: list[str], edge_keys: list[str] | None = None, alive: Column | None = None, closed: DataFrame | None = None) -> DataFrame:
     """keys, node, depth: all nodes reachable from frontier(keys, node), with their least number of steps.
 
-    edges(edge_keys, src, dst); ``edge_keys`` (default: all keys) are the keys that edges depend on.
+    edges(edge_keys, src, dst); ``edge_keys`` (default: all keys) are the keys that edges depend on.  With
+    ``alive``, a condition on keys and edge columns, an edge's coin is flipped only when the edge is met.
+    Nodes of closed(some of the keys, node) are never entered.
     """
     edge_keys = keys if edge_keys is None else edge_keys
+    edges = edges if alive is not None else edges.select(*edge_keys, "src", "dst")
     new = cut(frontier.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
     seen = [new]
     for depth in range(1, MAX_ROUNDS):
-        step = new.withColumnRenamed("node", "src").join(edges.select(*edge_keys, "src", "dst"), [*edge_keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
+        step = new.select(*keys, F.col("node").alias("src")).join(edges, [*edge_keys, "src"])
+        step = (step if alive is None else step.filter(alive)).select(*keys, F.col("dst").alias("node")).distinct()
+        step = step if closed is None else step.join(closed, closed.columns, "left_anti")
         new = cut(step.join(reduce(DataFrame.union, seen).select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return reduce(DataFrame.union, seen)

@@ -235,7 +235,9 @@ def dava(edges: DataFrame, infected: DataFrame, k: int, fast: bool = False) -> D
     import heapq
 
     table = collected(edges.select("src", "dst", "weight"))
-    sick = {r["node"] for r in infected.select("node").distinct().limit(DRIVER_EDGES).collect()}
+    sick = {r["node"] for r in infected.select("node").distinct().limit(DRIVER_EDGES + 1).collect()}
+    if len(sick) > DRIVER_EDGES:
+        raise ValueError(f"more than {DRIVER_EDGES} infected nodes")
     root = -1
     chance: dict[tuple[int, int], float] = {}
     for a, b, w in zip(table["src"], table["dst"], table["weight"]):

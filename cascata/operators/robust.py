@@ -1,4 +1,4 @@
-"""Robustness over removal orders: one max-min closure serves every number of removed nodes."""
+"""Resilience over removal orders: one max-min closure serves every number of removed nodes."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 from .fixpoint import bottleneck, reach
-from .sketches import roots
-from .worlds import live_ic, simulate, without_blocked
+from .sketches import backward, roots
+from .worlds import live_ic, live_lt, simulate, without_blocked
 from .worlds import worlds as every_world
 
 
@@ -42,7 +42,7 @@ def sequence(pairs: DataFrame, n: int, n_worlds: int) -> DataFrame:
 def saved_nodes(live: DataFrame, seeds: DataFrame, blocked: DataFrame, n: int, base: str) -> DataFrame:
     """strategy, activated, var_activated, saved, fraction_saved, against the strategy ``base`` in the same worlds."""
     names = blocked.select("strategy").distinct()
-    start = seeds.crossJoin(F.broadcast(names)).join(blocked.select("strategy", "node").distinct(), ["strategy", "node"], "left_anti")
+    start = seeds.crossJoin(names).join(blocked.select("strategy", "node").distinct(), ["strategy", "node"], "left_anti")
     active = simulate(cut(without_blocked(live, blocked)), start, n, ["strategy"])
     k = every_world(names, n).join(active.groupBy("strategy", "world").agg(F.count(F.lit(1)).alias("k")), ["strategy", "world"], "left").na.fill(0, ["k"])
     zero = k.filter(F.col("strategy") == base).select("world", F.col("k").alias("z"))
@@ -50,7 +50,7 @@ def saved_nodes(live: DataFrame, seeds: DataFrame, blocked: DataFrame, n: int, b
     return both.groupBy("strategy").agg(F.avg("k").alias("activated"), F.var_samp("k").alias("var_activated"), F.avg("s").alias("saved"), F.avg(F.col("s") / F.col("z")).alias("fraction_saved"))
 
 
-def strategy_sketches(edges: DataFrame, nodes: DataFrame, blocked: DataFrame, den: int, n: int) -> tuple[DataFrame, DataFrame]:
+def strategy_sketches(edges: DataFrame, nodes: DataFrame, blocked: DataFrame, den: int, n: int, model: str = "ic") -> tuple[DataFrame, DataFrame]:
     """rr(strategy, rr_id, node) on every strategy's blocked graph, and sizes(strategy, n, r).
 
     Coins and roots are common; a sketch whose root is blocked does not count for the strategy, which
@@ -58,31 +58,40 @@ def strategy_sketches(edges: DataFrame, nodes: DataFrame, blocked: DataFrame, de
     """
     names = blocked.select("strategy").distinct()
     gone = blocked.select("strategy", "node").distinct()
-    live = live_ic(edges, den, n, "rric", "rr_id").withColumnRenamed("rr_id", "world")
-    live = cut(without_blocked(live, blocked).select("strategy", F.col("world").alias("rr_id"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    start = cut(roots(nodes, n).crossJoin(F.broadcast(names)).join(gone, ["strategy", "node"], "left_anti"))
-    rr = reach(start, live, ["strategy", "rr_id"]).select("strategy", "rr_id", "node")
-    left = nodes.select(F.col("id").alias("node")).crossJoin(F.broadcast(names)).join(gone, ["strategy", "node"], "left_anti").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+    back, alive = backward(edges, den, model)
+    start = cut(roots(nodes, n).crossJoin(names).join(gone, ["strategy", "node"], "left_anti"))
+    rr = reach(start, back, ["strategy", "rr_id"], [], alive, gone).select("strategy", "rr_id", "node")
+    left = nodes.select(F.col("id").alias("node")).crossJoin(names).join(gone, ["strategy", "node"], "left_anti").groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
     r = start.groupBy("strategy").agg(F.count(F.lit(1)).alias("r"))
     return rr, names.join(left, "strategy", "left").join(r, "strategy", "left").na.fill(0, ["n", "r"])
 
 
-def dynamic_influence(edges: DataFrame, nodes: DataFrame, order: DataFrame, den: int, n: int, levels: list[int]) -> DataFrame:
-    """l, node, influence: the best single seed at each level, from one set of bottleneck sketches.
+def dynamic_influence(edges: DataFrame, nodes: DataFrame, order: DataFrame, den: int, n: int, levels: list[int], k: int = 1, model: str = "ic") -> DataFrame:
+    """l, pos, node, influence: the k seeds that greedy covering picks at each level, from one set of bottleneck sketches.
 
     b is the largest l at which the node still reaches the root; a sketch counts at levels up to its
-    root's rank.  Influence is (n - l) * covered / sketches whose root is left.
+    root's rank.  Influence is that of the seeds so far: (n - l) * covered / sketches whose root is left.
+    All levels advance together, a seed in each round.
     """
     total = nodes.count()
-    live = live_ic(edges, den, n, "rric", "rr_id")
+    live = (live_ic if model == "ic" else live_lt)(edges, den, n, f"rr{model}", "rr_id")
     back = live.join(order.select(F.col("node").alias("src"), "rank"), "src").select("rr_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "rank")
     start = cut(roots(nodes, n).join(order, "node"))
     pairs = bottleneck(start, cut(back), ["rr_id"])
     at = F.array(*[F.lit(v) for v in levels])
-    counts = pairs.select(F.col("v").alias("node"), F.explode(F.filter(at, lambda x: x <= F.col("b"))).alias("l")).groupBy("l", "node").agg(F.count(F.lit(1)).alias("k"))
-    best = counts.groupBy("l").agg(F.max(F.struct("k", "node")).alias("b"))
+    open_ = pairs.select("rr_id", F.col("v").alias("node"), F.explode(F.filter(at, lambda x: x <= F.col("b"))).alias("l"))
+    picks = []
+    for pos in range(k):
+        open_ = cut(open_) if k > 1 else open_
+        gains = open_.groupBy("l", "node").agg(F.count(F.lit(1)).alias("k"))
+        best = gains.groupBy("l").agg(F.max(F.struct("k", "node")).alias("b")).select("l", F.lit(pos).alias("pos"), "b.node", "b.k")
+        picks.append(cut(best) if k > 1 else best)
+        if pos + 1 < k:
+            covered = open_.join(picks[-1].select("l", "node"), ["l", "node"]).select("l", "rr_id").distinct()
+            open_ = open_.join(covered, ["l", "rr_id"], "left_anti")
+    chosen = reduce(DataFrame.union, picks).withColumn("covered", F.sum("k").over(Window.partitionBy("l").orderBy("pos")))
     left = start.select(F.explode(F.filter(at, lambda x: x <= F.col("rank"))).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("r"))
-    return best.join(left, "l").select("l", F.col("b.node").alias("node"), (F.col("b.k") * (total - F.col("l")) / F.col("r")).alias("influence"))
+    return chosen.join(left, "l").select("l", "pos", "node", (F.col("covered") * (total - F.col("l")) / F.col("r")).alias("influence"))
 
 
 def dynamic_worst_case(edges: DataFrame, nodes: DataFrame, orders: DataFrame, den: int, n: int, levels: list[int]) -> DataFrame:

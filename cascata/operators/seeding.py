@@ -47,21 +47,33 @@ def imm_final_size(n: int, k: int, epsilon: float, opt: float) -> float:
     return 2 * n * ((1 - 1 / math.e) * alpha + beta) ** 2 / (opt * epsilon**2)
 
 
-def imm(sample, n: int, k: int, epsilon: float = 0.2, limit: int = 1 << 20) -> tuple[list[tuple[int, float]], int]:
+def imm(sample, n: int, k: int, epsilon: float = 0.2, limit: int | None = None) -> tuple[list[tuple[int, float]], int]:
     """Influence maximisation: double the sample until the covered share proves a bound, then size the last one.
 
-    ``sample(r)`` returns rr(rr_id, node) with r sketches; sketches are pure functions of their id, so a
-    larger sample extends a smaller one.  ``limit`` guards the sample size.
+    ``sample(first, r)`` returns rr(rr_id, node) of the sketches first to r - 1; sketches are pure functions
+    of their id, so each round draws only those that it adds.  The guarantee needs all sketches that the
+    bounds ask for, so a sample that would exceed ``limit`` raises.
     """
+    rr, have = None, 0
+
+    def grown(r: int) -> DataFrame:
+        nonlocal rr, have
+        if limit is not None and r > limit:
+            raise ValueError(f"{r} sketches are needed, more than the limit of {limit}")
+        if r > have:
+            more = cut(sample(have, r))
+            rr, have = more if rr is None else rr.union(more), r
+        return rr.filter(F.col("rr_id") < r)
+
     opt = 1.0
     for x in range(1, max(2, int(math.log2(n)) + 1)):
-        r = min(limit, int(imm_round_size(n, k, epsilon, x)) + 1)
-        share = sum(g for _, g in greedy_cover(sample(r), k)) / r
-        if share > 2.0**-x or r == limit:
+        r = int(imm_round_size(n, k, epsilon, x)) + 1
+        share = sum(g for _, g in greedy_cover(grown(r), k)) / r
+        if share > 2.0**-x:
             opt = max(1.0, share * n / (1 + math.sqrt(2) * epsilon))
             break
-    r = min(limit, int(imm_final_size(n, k, epsilon, opt)) + 1)
-    return greedy_cover(sample(r), k), r
+    r = int(imm_final_size(n, k, epsilon, opt)) + 1
+    return greedy_cover(grown(r), k), r
 
 
 def levels(alpha: float, n: int) -> list[int]:

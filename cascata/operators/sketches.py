@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..coins import SIDES, u32
+from ..coins import SIDES, happens, u32
 from ..runtime import cut, numbered
 from .fixpoint import reach, shortest
-from .worlds import live_ic, live_lt
+from .worlds import lt_bounds, lt_picks
 
 
-def roots(nodes: DataFrame, n: int, tag: str = "root") -> DataFrame:
-    """rr_id, node: a root for each of n sketches, uniform over nodes(id) that are numbered by id."""
+def roots(nodes: DataFrame, n: int, tag: str = "root", first: int = 0) -> DataFrame:
+    """rr_id, node: a root for each of the sketches first to n - 1, uniform over nodes(id) that are numbered by id."""
     ids = nodes.select("id").distinct()
     size = ids.agg(F.count(F.lit(1)).alias("n"))
     order = numbered(ids, [F.col("id")], "k")
-    draws = nodes.sparkSession.range(n).select(F.col("id").cast("int").alias("rr_id"))
+    draws = nodes.sparkSession.range(first, n).select(F.col("id").cast("int").alias("rr_id"))
     picks = draws.crossJoin(F.broadcast(size)).select("rr_id", F.floor(u32(tag, "rr_id") * F.col("n") / F.lit(float(SIDES))).cast("long").alias("k"))
     return picks.join(order, "k").select("rr_id", F.col("id").alias("node"))
 
 
-def rr_sets(edges: DataFrame, nodes: DataFrame, den: int, n: int, model: str = "ic") -> DataFrame:
-    """rr_id, node, depth: the nodes that reach each sketch's root in the sketch's own world; the root is one."""
-    live = (live_ic if model == "ic" else live_lt)(edges, den, n, f"rr{model}", "rr_id")
-    back = cut(live.select("rr_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return reach(roots(nodes, n), back, ["rr_id"])
+def backward(edges: DataFrame, den: int, model: str = "ic") -> tuple[DataFrame, Column]:
+    """The reversed edges, and whether one is alive in the world of a sketch rr_id: a coin is a function of edge and
+    sketch, so it is flipped when a sketch meets the edge and never for edges that no sketch comes to."""
+    if model == "ic":
+        alive = happens(u32("rric", "dst", "src", "rr_id"), F.col("c"), den)
+        return cut(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "c")), alive
+    back = lt_bounds(edges, den).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "lo", "hi", "den")
+    return cut(back), lt_picks("rrlt", "src", "rr_id")
+
+
+def rr_sets(edges: DataFrame, nodes: DataFrame, den: int, n: int, model: str = "ic", first: int = 0) -> DataFrame:
+    """rr_id, node, depth: the nodes that reach each sketch's root in the sketch's own world; the root is one.
+
+    Sketches first to n - 1 are drawn; a sketch is the same whatever others are drawn with it.
+    """
+    back, alive = backward(edges, den, model)
+    return reach(roots(nodes, n, first=first), back, ["rr_id"], [], alive)
 
 
 def influence(rr: DataFrame, n_nodes: int, n_rr: int) -> DataFrame:

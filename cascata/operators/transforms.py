@@ -84,7 +84,7 @@ def normalise_in_weights(edges: DataFrame, by: str = "weight") -> DataFrame:
 
 
 def double_weights(edges: DataFrame) -> DataFrame:
-    """Perturbation for robustness: doubled, and 0.99 where that exceeds 1."""
+    """Perturbation for resilience: doubled, and 0.99 where that exceeds 1."""
     return edges.withColumn("weight", F.when(2 * F.col("weight") > 1, 0.99).otherwise(2 * F.col("weight")))
 
 

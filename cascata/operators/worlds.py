@@ -22,31 +22,40 @@ def live_ic(edges: DataFrame, den: int, n: int, tag: str = "ic", name: str = "wo
     return worlds(edges.select("src", "dst", "c"), n, name).filter(happens(u32(tag, "src", "dst", name), F.col("c"), den)).select(name, "src", "dst")
 
 
+def lt_bounds(edges: DataFrame, den: int) -> DataFrame:
+    """src, dst, lo, hi, den: the draws of dst that pick the edge; in-weights that sum to more than one are scaled to one."""
+    order = Window.partitionBy("dst").orderBy("src")
+    total = F.sum("c").over(Window.partitionBy("dst"))
+    return edges.select("src", "dst", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lo"), F.sum("c").over(order).alias("hi"), F.greatest(total, F.lit(den)).alias("den"))
+
+
+def lt_picks(tag: str, node: str, name: str):
+    """Whether the node picks an edge of lt_bounds() in a world."""
+    draw = u32(tag, node, name) * F.col("den")
+    return (draw >= F.col("lo") * SIDES) & (draw < F.col("hi") * SIDES)
+
+
 def live_lt(edges: DataFrame, den: int, n: int, tag: str = "lt", name: str = "world") -> DataFrame:
     """world, src, dst: every node picks at most one in-edge, in proportion to its weight.
 
-    One draw per node and world on the whole graph; in-weights that sum to more than one are scaled to
-    one.  A world serves every number of blocked nodes: a pick of a blocked node is no edge.
+    One draw per node and world on the whole graph.  A world serves every number of blocked nodes: a pick
+    of a blocked node is no edge.
     """
-    order = Window.partitionBy("dst").orderBy("src")
-    total = F.sum("c").over(Window.partitionBy("dst"))
-    bounds = edges.select("src", "dst", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lo"), F.sum("c").over(order).alias("hi"), F.greatest(total, F.lit(den)).alias("den"))
-    draw = u32(tag, "dst", name) * F.col("den")
-    return worlds(bounds, n, name).filter((draw >= F.col("lo") * SIDES) & (draw < F.col("hi") * SIDES)).select(name, "src", "dst")
+    return worlds(lt_bounds(edges, den), n, name).filter(lt_picks(tag, "dst", name)).select(name, "src", "dst")
 
 
 def without_blocked(live: DataFrame, blocked: DataFrame) -> DataFrame:
     """live(world, src, dst) for every set of blocked(strategy, node): same worlds, common coins."""
     strategies = blocked.select("strategy").distinct()
     b = blocked.select("strategy", "node").distinct()
-    every = live.crossJoin(F.broadcast(strategies))  # a handful of named strategies
+    every = live.crossJoin(strategies)
     out = every.join(b, (every["strategy"] == b["strategy"]) & (every["src"] == b["node"]), "left_anti")
     return out.join(b, (out["strategy"] == b["strategy"]) & (out["dst"] == b["node"]), "left_anti")
 
 
 def replaced_seeds(seeds: DataFrame, blocked: DataFrame, k: int) -> DataFrame:
     """strategy, pos, node: the first k of seeds(pos, node) that a strategy has not blocked."""
-    every = seeds.crossJoin(F.broadcast(blocked.select("strategy").distinct()))
+    every = seeds.crossJoin(blocked.select("strategy").distinct())
     left = every.join(blocked.select("strategy", "node").distinct(), ["strategy", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("strategy").orderBy("pos"))
     return left.withColumn("rank", rank).filter(F.col("rank") <= k).select("strategy", "pos", "node")

@@ -1,4 +1,4 @@
-"""Queries on possible worlds, sketches, seeds and robustness over removal orders."""
+"""Queries on possible worlds, sketches, seeds and resilience over removal orders."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..coins import happens_sql, u32_sql
 from ..operators import fixpoint, immunize, kernels, robust, seeding, sketches, transforms, worlds
+from ..runtime import cut
 from ..sources.derived import SUPP_DEN, SUPP_SQL, TRADE_DEN, TRADE_SQL, supp, trade
 from .registry import query
 
@@ -237,10 +238,10 @@ def marginal_gain_ratio(spark, sf_dir):
 
 @query()
 def imm_seeds(spark, sf_dir):
-    """Influence maximisation with its sample size from the published bounds (limited to SKETCHES here)."""
-    edges = supp(spark, sf_dir)
-    ids = transforms.nodes(edges)
-    picked, r = seeding.imm(lambda r: sketches.rr_sets(edges, ids, SUPP_SPARSE, r).select("rr_id", "node"), ids.count(), 2, 0.5, limit=SKETCHES)
+    """Influence maximisation with its sample size from the published bounds."""
+    edges = cut(supp(spark, sf_dir))
+    ids = cut(transforms.nodes(edges))
+    picked, r = seeding.imm(lambda first, r: sketches.rr_sets(edges, ids, SUPP_SPARSE, r, first=first).select("rr_id", "node"), ids.count(), 2, 0.5)
     return spark.createDataFrame([(i, v, int(g), r) for i, (v, g) in enumerate(picked)], "pos int, node long, gain long, sketches int")
 
 
@@ -339,7 +340,7 @@ def saturate_seeds(spark, sf_dir):
 
 DYNAMIC_SQL = f"""WITH RECURSIVE {SUPP}, {DEG}, {N}, {live_sql(SUPP_SPARSE, 50, "rric", "rr_id")}, i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM n),
     z AS (SELECT CAST(range AS INTEGER) AS rr_id, CAST(floor({u32_sql('root', 'range')} * (SELECT count(*) FROM n) / 4294967296.0) AS BIGINT) AS k FROM range(50)),
-    lv AS (SELECT range * 10 AS l FROM range(10)),
+    lv AS (SELECT unnest(range(0, k, greatest(1, k // 10))) AS l FROM (SELECT count(*) AS k FROM n)),
     r(l, rr_id, node) AS (SELECT l, rr_id, id FROM lv, z JOIN i USING (k) JOIN o ON o.node = id WHERE o.rank >= l
       UNION SELECT r.l, r.rr_id, src FROM r JOIN live ON live.rr_id = r.rr_id AND dst = r.node JOIN o ON o.node = src WHERE o.rank >= r.l),
     g AS (SELECT l, node, count(*) AS k FROM r GROUP BY ALL), b AS (SELECT l, arg_max(node, (k, node)) AS node, max(k) AS k FROM g GROUP BY l)"""
@@ -351,15 +352,17 @@ DYNAMIC_SQL = f"""WITH RECURSIVE {SUPP}, {DEG}, {N}, {live_sql(SUPP_SPARSE, 50,
 def dynamic_im_sequence(spark, sf_dir):
     """Best single seed and its influence at every tenth level of one removal order, from one set of sketches."""
     edges = supp(spark, sf_dir)
-    found = robust.dynamic_influence(edges, transforms.nodes(edges), _order(edges), SUPP_SPARSE, 50, list(range(0, 100, 10)))
-    return _rounded(found, "influence")
+    ids = cut(transforms.nodes(edges))
+    n = ids.count()
+    found = robust.dynamic_influence(edges, ids, _order(edges), SUPP_SPARSE, 50, list(range(0, n, max(1, n // 10))))
+    return _rounded(found.drop("pos"), "influence")
 
 
 @query(
     f"""{closure_sql(TRADE_DEN, WORLDS)}, c AS (SELECT w, l, s, count(*) AS k FROM reach GROUP BY ALL), m AS (SELECT w, l, max(k) AS k FROM c GROUP BY ALL), q AS (SELECT l, avg(k) AS s, stddev_pop(k) AS d FROM m GROUP BY l)
     SELECT round(sum(s) / count(*), 6) AS rob, round(avg(d), 6) AS rob_std, count(*) AS levels FROM q"""
 )
-def robustness_trade(spark, sf_dir):
+def resilience_trade(spark, sf_dir):
     edges = trade(spark, sf_dir)
     reach = kernels.max_reach(worlds.live_ic(edges, TRADE_DEN, WORLDS), _order(edges), WORLDS)
     levels = reach.groupBy("l").agg(F.avg("max_reach").alias("s"), F.stddev_pop("max_reach").alias("d"))
@@ -394,19 +397,17 @@ def world_edges_table_function(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {SUPP}, s AS (SELECT src, dst FROM e WHERE c >= (SELECT max(c) - 2 FROM e)),
+    f"""WITH RECURSIVE {SUPP}, {live_sql(SUPP_SPARSE, 1)}, s AS (SELECT src, dst FROM live),
     r(u, v) AS (SELECT src, dst FROM s UNION SELECT u, dst FROM r JOIN s ON v = src), n AS (SELECT src AS u FROM s UNION SELECT dst FROM s),
     k AS (SELECT n.u, least(n.u, coalesce(min(x.v), n.u)) AS scc FROM n LEFT JOIN (SELECT a.u, a.v FROM r a JOIN r b ON a.u = b.v AND a.v = b.u) x ON x.u = n.u GROUP BY n.u)
     SELECT a.scc AS src, b.scc AS dst, count(*) AS multiplicity FROM s JOIN k a ON a.u = s.src JOIN k b ON b.u = s.dst WHERE a.scc <> b.scc GROUP BY 1, 2"""
 )
 def condensation(spark, sf_dir):
-    """Edges between strongly connected components, with multiplicities."""
+    """Edges between the strongly connected components of one world, with multiplicities."""
     from ..operators.condense import condensed
 
-    edges = supp(spark, sf_dir)
-    top = edges.agg(F.max("c").alias("top"))
-    heavy = edges.crossJoin(F.broadcast(top)).filter("c >= top - 2").select("src", "dst")
-    return condensed(heavy, fixpoint.strong_components(heavy, transforms.nodes(heavy)))[0]
+    edges = cut(worlds.live_ic(supp(spark, sf_dir), SUPP_SPARSE, 1).select("src", "dst"))
+    return condensed(edges, fixpoint.strong_components(edges, transforms.nodes(edges)))[0]
 
 
 @query(
@@ -469,7 +470,7 @@ def greedy_removal_order(spark, sf_dir):
     f"""WITH RECURSIVE {SUPP}, {DEG}, {N}, {live_sql(SUPP_SPARSE, 50, "rric", "rr_id")}, i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM n),
     p AS (SELECT 'Degree' AS strategy, node, rank FROM o UNION ALL SELECT 'Random', id, row_number() OVER (ORDER BY {u32_sql('random', 'id')}, id) - 1 FROM n),
     z AS (SELECT CAST(range AS INTEGER) AS rr_id, CAST(floor({u32_sql('root', 'range')} * (SELECT count(*) FROM n) / 4294967296.0) AS BIGINT) AS k FROM range(50)),
-    q AS (SELECT strategy, l, rr_id, id FROM (SELECT range * 20 AS l FROM range(4)) lv, z JOIN i USING (k) JOIN p ON p.node = id WHERE p.rank >= l),
+    q AS (SELECT strategy, l, rr_id, id FROM (SELECT unnest(range(0, k, greatest(1, k // 5))) AS l FROM (SELECT count(*) AS k FROM n)) lv, z JOIN i USING (k) JOIN p ON p.node = id WHERE p.rank >= l),
     r(strategy, l, rr_id, node) AS (SELECT * FROM q UNION SELECT r.strategy, r.l, r.rr_id, src FROM r JOIN live ON live.rr_id = r.rr_id AND dst = r.node JOIN p ON p.strategy = r.strategy AND p.node = src WHERE p.rank >= r.l),
     s AS (SELECT l, strategy, count(*) AS r FROM q GROUP BY ALL), v AS (SELECT r.l, r.strategy, r.node, count(*) * ((SELECT count(*) FROM n) - r.l) / CAST(any_value(s.r) AS DOUBLE) AS i FROM r JOIN s ON s.l = r.l AND s.strategy = r.strategy GROUP BY r.l, r.strategy, r.node),
     w AS (SELECT l, node, CASE WHEN count(*) = 2 THEN min(i) ELSE 0 END AS w FROM v GROUP BY l, node)
@@ -480,7 +481,9 @@ def dynamic_worst_case(spark, sf_dir):
     edges = supp(spark, sf_dir)
     one = immunize.degree(edges).select(F.lit("Degree").alias("strategy"), "node", F.col("rank").cast("int").alias("rank"))
     two = immunize.random_order(edges).select(F.lit("Random").alias("strategy"), "node", F.col("rank").cast("int").alias("rank"))
-    found = robust.dynamic_worst_case(edges, transforms.nodes(edges), one.union(two), SUPP_SPARSE, 50, list(range(0, 80, 20)))
+    ids = cut(transforms.nodes(edges))
+    n = ids.count()
+    found = robust.dynamic_worst_case(edges, ids, one.union(two), SUPP_SPARSE, 50, list(range(0, n, max(1, n // 5))))
     return _rounded(found, "objective")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..coins import SIDES, u32_sql
 from ..operators import fixpoint, immunize, statistics, transforms
+from ..runtime import cut
 from ..sources.derived import PART_SQL, SUPP_SQL, TRADE_SQL, USER_SQL, part, supp, trade, user
 from .registry import query
 
@@ -106,10 +107,10 @@ def log_distances(spark, sf_dir):
 
 @query(
     f"""{WITH_SUPP} SELECT dst, round(CASE WHEN max(c) >= 12 THEN 1.0 ELSE 1 - exp(sum(CASE WHEN c < 12 THEN ln(1 - c / 12.0) END)) END, 6) AS weight
-    FROM e WHERE src % 5 = 0 GROUP BY dst"""
+    FROM e GROUP BY dst"""
 )
 def noisy_or_merge(spark, sf_dir):
-    w = transforms.noisy_or(supp(spark, sf_dir).filter("src % 5 = 0").withColumn("weight", F.col("c") / 12.0), ["dst"])
+    w = transforms.noisy_or(supp(spark, sf_dir).withColumn("weight", F.col("c") / 12.0), ["dst"])
     return w.select("dst", F.round("weight", 6).alias("weight"))
 
 
@@ -150,30 +151,25 @@ def avg_clustering(spark, sf_dir):
 
 
 @query(
-    f"""{WITH_SUPP}, s AS (SELECT src, dst FROM e WHERE c >= (SELECT max(c) - 2 FROM e)),
+    f"""{WITH_SUPP}, s AS (SELECT src, dst FROM e),
     r(u, v) AS (SELECT src, dst FROM s UNION SELECT u, dst FROM r JOIN s ON v = src),
     n AS (SELECT src AS u FROM s UNION SELECT dst FROM s),
     k AS (SELECT n.u, least(n.u, min(x.v)) AS scc FROM n LEFT JOIN (SELECT a.u, a.v FROM r a JOIN r b ON a.u = b.v AND a.v = b.u) x ON x.u = n.u GROUP BY n.u)
     SELECT coalesce(scc, u) AS scc, count(*) AS size FROM k GROUP BY 1"""
 )
 def scc_sizes(spark, sf_dir):
-    edges = supp(spark, sf_dir)
-    top = edges.agg(F.max("c").alias("top"))
-    heavy = edges.crossJoin(F.broadcast(top)).filter("c >= top - 2").select("src", "dst")
-    return fixpoint.strong_components(heavy, transforms.nodes(heavy)).groupBy("scc").agg(F.count(F.lit(1)).alias("size"))
+    edges = cut(supp(spark, sf_dir).select("src", "dst"))
+    return fixpoint.strong_components(edges, transforms.nodes(edges)).groupBy("scc").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query(
-    f"""{WITH_SUPP}, s AS (SELECT src, dst FROM e WHERE c >= (SELECT max(c) - 2 FROM e)),
+    f"""{WITH_SUPP}, s AS (SELECT src, dst FROM e),
     b AS (SELECT src AS u, dst AS v FROM s UNION SELECT dst, src FROM s),
     r(u, v) AS (SELECT u, v FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u)
     SELECT component, count(*) AS size FROM (SELECT u, least(u, min(v)) AS component FROM r GROUP BY u) GROUP BY 1"""
 )
 def weak_component_sizes(spark, sf_dir):
-    edges = supp(spark, sf_dir)
-    top = edges.agg(F.max("c").alias("top"))
-    heavy = edges.crossJoin(F.broadcast(top)).filter("c >= top - 2").select("src", "dst")
-    return fixpoint.weak_components(heavy).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return fixpoint.weak_components(cut(supp(spark, sf_dir).select("src", "dst"))).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query(
@@ -186,19 +182,16 @@ def bfs_levels(spark, sf_dir):
 
 
 @query(
-    f"""{WITH_USER}, s AS (SELECT src, dst FROM e WHERE src % 3 <> 1 AND c >= 2), q AS (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 10 = 0),
-    r(u, v) AS (SELECT u, u FROM q UNION SELECT u, dst FROM r JOIN s ON v = src)
-    SELECT a.u AS src, b.u AS dst, EXISTS (SELECT 1 FROM r WHERE r.u = a.u AND r.v = b.u) AS reachable FROM q a JOIN q b ON a.u <> b.u"""
+    f"""{WITH_USER}, q AS (SELECT DISTINCT user_id AS u FROM events), r(u, v) AS (SELECT u, u FROM q UNION SELECT u, dst FROM r JOIN e ON v = src)
+    SELECT u AS src, v AS dst FROM r JOIN q USING (u) WHERE u <> v"""
 )
 def reach_pairs(spark, sf_dir):
-    """Reachability of given pairs: only from the sources that are asked for."""
+    """The reachable pairs of users; what is not reachable gives no row."""
     from ..sources.derived import table
 
-    edges = user(spark, sf_dir).filter("src % 3 <> 1 AND c >= 2")
-    asked = table(spark, sf_dir, "events").filter("user_id % 10 = 0").select(F.col("user_id").alias("u")).distinct()
-    pairs = asked.withColumnRenamed("u", "src").crossJoin(asked.withColumnRenamed("u", "dst")).filter("src <> dst")
-    closure = fixpoint.reach(asked.select(F.col("u").alias("s"), F.col("u").alias("node")), edges, ["s"], []).select(F.col("s").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("r"))
-    return pairs.join(closure, ["src", "dst"], "left").select("src", "dst", F.coalesce("r", F.lit(False)).alias("reachable"))
+    asked = table(spark, sf_dir, "events").select(F.col("user_id").alias("s"), F.col("user_id").alias("node")).distinct()
+    closure = fixpoint.reach(asked, cut(user(spark, sf_dir)), ["s"], [])
+    return closure.filter("s <> node").select(F.col("s").alias("src"), F.col("node").alias("dst"))
 
 
 @query(

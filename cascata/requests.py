@@ -15,7 +15,7 @@ MODES = ("DFS_MAX_TREE", "TOPDOWN", "BOTUP", "DYN_BOTUP", "DAGGER", "DAGGER_BITS
 
 
 @dataclass(frozen=True)
-class Robustness:
+class Resilience:
     """Expected largest reach of ``seeds`` roots while nodes are removed in an order."""
 
     iterations: int = 100
@@ -62,14 +62,12 @@ class InfluenceMaximisation:
 
     seeds: int = 2
     epsilon: float = 0.2
-    beta: float = 32.0
     lt: bool = False
     den: int = 1_000_000
-    limit: int = 1 << 16
+    limit: int | None = None  # a sample that has to be larger raises
 
     def __post_init__(self):
         assert self.epsilon < 1, "epsilon is a share"
-        assert self.beta > 1, "beta is a factor"
 
     def run(self, edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
         """pos, node, gain (sketches newly covered) and sketches."""
@@ -82,7 +80,7 @@ class InfluenceMaximisation:
         if n <= self.seeds:
             raise ValueError(f"{self.seeds} seeds among {n} nodes")
         model = "lt" if self.lt else "ic"
-        picked, r = seeding.imm(lambda r: sketches.rr_sets(own, ids, self.den, r, model).select("rr_id", "node"), n, self.seeds, self.epsilon, self.limit)
+        picked, r = seeding.imm(lambda first, r: sketches.rr_sets(own, ids, self.den, r, model, first).select("rr_id", "node"), n, self.seeds, self.epsilon, self.limit)
         return edges.sparkSession.createDataFrame([(i, int(v), int(g), r) for i, (v, g) in enumerate(picked)], "pos int, node long, gain long, sketches int")
 
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from cascata.requests import InfluenceMaximisation, Robustness, RobustSeeding, Simulation, sketch_error
+from cascata.requests import InfluenceMaximisation, Resilience, RobustSeeding, Simulation, sketch_error
 from cascata.sources import files
 
 DEN = 1_000_000
@@ -16,28 +16,28 @@ def order(spark, nodes):
     return spark.createDataFrame([(v, i) for i, v in enumerate(nodes)], "node long, rank int")
 
 
-def test_robustness(spark):
+def test_resilience(spark):
     edges, removal = path(spark, 6), order(spark, [5, 4, 3, 2, 1, 0])
-    every = Robustness(iterations=2)
+    every = Resilience(iterations=2)
     assert [r["value"] for r in every.series(edges, removal).orderBy("l").collect()] == [6, 5, 4, 3, 2, 1]
     assert every.value(edges, removal) == pytest.approx(21 / 6)
-    assert Robustness(iterations=2, blocked=2).value(edges, removal) == 4
-    assert Robustness(iterations=2, alpha=2).value(edges, removal) == pytest.approx((6 + 5 + 4 + 4 + 4 + 4) / 6)
-    assert [r["value"] for r in Robustness(iterations=2, seeds=2, blocked=0).series(edges, removal).collect()] == [6]
+    assert Resilience(iterations=2, blocked=2).value(edges, removal) == 4
+    assert Resilience(iterations=2, alpha=2).value(edges, removal) == pytest.approx((6 + 5 + 4 + 4 + 4 + 4) / 6)
+    assert [r["value"] for r in Resilience(iterations=2, seeds=2, blocked=0).series(edges, removal).collect()] == [6]
     with pytest.raises(ValueError):
         every.series(edges, order(spark, [0, 1]))
     with pytest.raises(ValueError):
-        Robustness(blocked=6).series(edges, removal)
+        Resilience(blocked=6).series(edges, removal)
     with pytest.raises(AssertionError):
-        Robustness(mode=0)
+        Resilience(mode=0)
 
 
 def test_seeding_requests(spark):
     edges = path(spark, 8)
-    assert InfluenceMaximisation(seeds=1, epsilon=0.5, limit=200).run(edges).first()["node"] == 0
+    assert InfluenceMaximisation(seeds=1, epsilon=0.5).run(edges).first()["node"] == 0
     gone = spark.createDataFrame([(0,)], "node long")
-    assert InfluenceMaximisation(seeds=1, epsilon=0.5, limit=200).run(edges, gone).first()["node"] == 1
-    for bad in ({"epsilon": 1.0}, {"beta": 1.0}):
+    assert InfluenceMaximisation(seeds=1, epsilon=0.5).run(edges, gone).first()["node"] == 1
+    for bad in ({"epsilon": 1.0},):
         with pytest.raises(AssertionError):
             InfluenceMaximisation(**bad)
     blocked = spark.createDataFrame([("A", 0), ("B", 4)], "strategy string, node long")

@@ -52,7 +52,7 @@ def test_shrink_by_degree_and_reseed(spark):
     left = transforms.shrink(edges, immunize.degree(edges), 25)
     ids = [r["id"] for r in transforms.nodes(left).collect()]
     assert len(ids) <= 25 and sorted(ids) == list(range(len(ids)))
-    assert InfluenceMaximisation(seeds=1, epsilon=0.5, limit=100).run(left).count() == 1
+    assert InfluenceMaximisation(seeds=1, epsilon=0.5).run(left).count() == 1
 
 
 def test_time_limit(spark):

@@ -93,7 +93,7 @@ def test_sample_sizes():
 def test_imm_on_a_star(spark):
     edges = graph(spark, [(0, k, 0.9) for k in range(1, 12)] + [(20, k, 0.2) for k in range(1, 12)])
     ids = transforms.nodes(edges)
-    picked, r = seeding.imm(lambda r: sketches.rr_sets(edges, ids, DEN, r).select("rr_id", "node"), ids.count(), 1, 0.5, limit=500)
+    picked, r = seeding.imm(lambda first, r: sketches.rr_sets(edges, ids, DEN, r, first=first).select("rr_id", "node"), ids.count(), 1, 0.5)
     assert picked[0][0] == 0 and r <= 500
 
 
