@@ -13,7 +13,9 @@ they build over a group (a suffix array, a suffix tree).
 3. *Groups.*  Distinct contents of one anchor go to one task, where the kernel indexes them.  Anchors with
    many distinct contents are dealt out by finer keys: the contents are cut into blocks of windows that
    start at a fixed distance from the anchor, keyed by the symbols that all windows of the block share.
-   Blocks get shorter as the group gets larger, down to single windows, so no group is ever unbounded.
+   Contents of the largest groups are cut into single windows, which are summed up (with partial sums before
+   the shuffle) by two independent 64-bit hashes and never meet in one task.
+   Symbols travel as the bytes of the text, so that the index compares what stands there.
 4. *Results.*  Runs of repeated windows are joined back to all occurrences and gathered by document.
 """
 
@@ -46,6 +48,7 @@ class Symbols:
 
     values: np.ndarray
     offsets: np.ndarray
+    spans: tuple[np.ndarray, np.ndarray] | None = None  # bytes of each symbol, where symbols are not bytes
 
 
 @dataclass
@@ -57,6 +60,7 @@ class Spec:
     symbols: Callable[[np.ndarray, np.ndarray], Symbols]  # of (bytes, offsets)
     kernel: Callable[["Pieces"], np.ndarray]  # a value for every window of every piece
     by_id: bool  # values are least doc_ids (else counts of occurrences)
+    decode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # (bytes, offsets) of contents to symbols and offsets
 
 
 @dataclass
@@ -180,7 +184,8 @@ def _piece_rows(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
                 sizes = np.diff(part.offsets.to_numpy())
                 if not len(lists):
                     continue
-                s = spec.symbols(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                part_bytes = buf[offsets[lo] : offsets[hi]]
+                s = spec.symbols(part_bytes, offsets[lo : hi + 1] - offsets[lo])
                 get = lambda name: lists.field(name).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
                 start = s.offsets[:-1][np.repeat(np.arange(hi - lo), sizes)] + get("start")
                 anchor, content, kinds = get("anchor"), get("content"), get("kinds")
@@ -196,19 +201,32 @@ def _piece_rows(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
                     for a in range(0, len(source), 4096):
                         b = slice(a, a + 4096)
                         n = p.count[b] + spec.window - 1
-                        cut = s.values[ranges(p.start[b], n)]
-                        data = pa.py_buffer(cut.tobytes())
-                        at = pa.py_buffer(np.append(0, np.cumsum(n) * cut.dtype.itemsize).astype(np.int32).tobytes())
+                        first = p.start[b]
+                        if s.spans:
+                            first, n = s.spans[0][first], s.spans[1][first + n - 1] - s.spans[0][first]
+                        data = pa.py_buffer(part_bytes[ranges(first, n)].tobytes())
+                        at = pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32).tobytes())
                         binary = pa.Array.from_buffers(pa.binary(), len(n), [None, at, data])
                         columns = (p.group[b], anchor[pick][source[b]], content[pick][source[b]], shift[b], p.count[b], p.distance[b], p.value[b])
-                        yield pa.record_batch([*map(pa.array, columns), binary], names=["key", "anchor", "content", "shift", "count", "distance", "value", "symbols"])
+                        vast = pa.array(np.full(len(n), block == 1))
+                        yield pa.record_batch([*map(pa.array, columns), binary, vast], names=["key", "anchor", "content", "shift", "count", "distance", "value", "symbols", "vast"])
 
     rows = docs.join(wanted, same(docs["doc_id"], wanted["w_id"]) & (docs["text_key"] == wanted["w_key"])).select("text", "wants")
-    return rows.mapInArrow(run, "key long, anchor long, content long, shift long, count long, distance long, value long, symbols binary")
+    return rows.mapInArrow(run, "key long, anchor long, content long, shift long, count long, distance long, value long, symbols binary, vast boolean")
 
 
-def _indexed(pieces: DataFrame, spec: Spec, dtype: str) -> DataFrame:
+def _single_windows(pieces: DataFrame, spec: Spec) -> DataFrame:
+    """The same for pieces of one window: summed up by the window's hashes, without an index."""
+    one = pieces.select("key", F.xxhash64("symbols").alias("other"), "anchor", "content", "shift", "value").dropDuplicates(["anchor", "content", "shift"])
+    found = one.groupBy("key", "other").agg((F.min("value") if spec.by_id else F.sum("value")).alias("found"))
+    one = one.join(stored(found, "windows"), ["key", "other"])
+    one = one.filter(F.col("found") < F.col("value") if spec.by_id else F.col("found") >= 2)
+    return one.select("anchor", "content", F.col("shift").alias("first"), F.lit(1).cast("long").alias("length"), (F.col("found") if spec.by_id else F.lit(1).cast("long")).alias("value"))
+
+
+def _indexed(pieces: DataFrame, spec: Spec) -> DataFrame:
     """Runs of windows with their values, for every content, from the kernel."""
+    large = BATCH_SYMBOLS * (8 if spec.by_id else 1)
 
     def batches_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Tables of whole groups of about BATCH_SYMBOLS symbols (or one larger group)."""
@@ -217,7 +235,7 @@ def _indexed(pieces: DataFrame, spec: Spec, dtype: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy()
-            if held and size >= BATCH_SYMBOLS:
+            if held and size >= large:
                 # the group that is open goes on with this batch; what is before it is complete
                 table = pa.Table.from_batches(held)
                 own = table.column(0).to_numpy()
@@ -227,9 +245,9 @@ def _indexed(pieces: DataFrame, spec: Spec, dtype: str) -> DataFrame:
                 if border:
                     yield table.slice(0, border)
                     held = table.slice(border).to_batches()
-                    size = sum(b.column(7).nbytes for b in held) // np.dtype(dtype).itemsize
+                    size = sum(b.column(7).nbytes for b in held)
             held.append(batch)
-            size += batch.column(7).nbytes // np.dtype(dtype).itemsize
+            size += batch.column(7).nbytes
         if held:
             yield pa.Table.from_batches(held)
 
@@ -241,11 +259,10 @@ def _indexed(pieces: DataFrame, spec: Spec, dtype: str) -> DataFrame:
             data = column["symbols"].chunk(0) if isinstance(column["symbols"], pa.ChunkedArray) else column["symbols"]
             offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
             raw = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            start = (offsets[:-1] - offsets[0]) // np.dtype(dtype).itemsize
+            values, start = spec.decode(raw, offsets - offsets[0])
             # a repeated document row brings the same content again
             ident = np.stack([get("key"), get("anchor"), get("content"), get("shift")], 1)
             _, pick = np.unique(ident, axis=0, return_index=True)
-            values = np.frombuffer(raw.tobytes(), dtype)
             p = Pieces(values, start[pick], get("count")[pick], get("distance")[pick], get("key")[pick], get("value")[pick])
             found = spec.kernel(p)
             piece = np.repeat(np.arange(len(pick)), p.count)
@@ -286,8 +303,9 @@ def covered_runs(docs: DataFrame, spec: Spec) -> DataFrame:
     occurrences = stored(found.join(anchors, "anchor"), "tiles", summed=False)
     first = F.min(F.struct("doc_id", "text_key", "start", "count", "distance"))
     kinds = stored(occurrences.groupBy("anchor", "content").agg(count.alias("n"), F.min("doc_id").alias("least"), first.alias("rep")), "contents")
-    many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = kinds.join(many, "anchor")
+    # stored as well, so that a frequent anchor's contents may be split where they meet their number
+    many = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+    kinds = stored(kinds.join(many, "anchor"), "numbered", summed=False)
     value = F.coalesce("least", F.lit((1 << 63) - 1)) if spec.by_id else F.col("n")
     single = kinds.filter("kinds = 1").select("anchor", "content", F.lit(0).cast("long").alias("first"), F.col("rep.count").cast("long").alias("length"), value.cast("long").alias("value"))
     if not spec.by_id:
@@ -295,7 +313,11 @@ def covered_runs(docs: DataFrame, spec: Spec) -> DataFrame:
     several = kinds.filter("kinds > 1").select("rep.*", "anchor", "content", "kinds", value.cast("long").alias("value"))
     item = F.struct("anchor", "content", F.col("start").cast("long").alias("start"), F.col("count").cast("long").alias("count"), F.col("distance").cast("long").alias("distance"), "kinds", "value")
     wanted = several.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(item).alias("wants"))
-    runs = _indexed(_piece_rows(docs, wanted, spec), spec, "uint64" if spec.by_id else "uint8")
+    several_kinds = kinds.agg(F.max("kinds")).first()[0] or 0
+    pieces = _piece_rows(docs, wanted, spec)
+    runs = _indexed(pieces.filter("NOT vast") if several_kinds > VAST else pieces, spec)
+    if several_kinds > VAST:
+        runs = runs.union(_single_windows(pieces.filter("vast"), spec))
     own = single if not spec.by_id else single.union(several.select("anchor", "content", F.lit(0).cast("long"), F.col("count").cast("long"), "value"))
     if not spec.by_id:
         own = own.union(several.filter("value > 1").select("anchor", "content", F.lit(0).cast("long"), F.col("count").cast("long"), "value"))

@@ -28,6 +28,31 @@ LANE = 64
 SORTED = 1 << 19
 
 
+def exact_groups(values: np.ndarray, start: np.ndarray, size: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the spans of ``size`` values in which equal ones stand together, and where a new one begins.
+
+    ``key`` is equal for equal spans; the spans themselves are compared as well.
+    """
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    alike, ahead = np.flatnonzero(~new), np.arange(size)
+    wrong = np.zeros(len(order), bool)
+    for lo in range(0, len(alike), 16384):
+        at = alike[lo : lo + 16384]
+        wrong[at] = (values[start[order[at]][:, None] + ahead] != values[start[order[at - 1]][:, None] + ahead]).any(1)
+    if wrong.any():
+        # different spans under one key: their own order decides
+        head = np.append(np.flatnonzero(new), len(order))
+        for g in np.unique(np.searchsorted(head, np.flatnonzero(wrong), side="right") - 1).tolist():
+            a, b = head[g], head[g + 1]
+            spans = [values[s : s + size].tobytes() for s in start[order[a:b]].tolist()]
+            own = sorted(range(b - a), key=spans.__getitem__)
+            order[a:b] = order[a:b][own]
+            new[a + 1 : b] = [spans[x] != spans[y] for x, y in zip(own[1:], own)]
+    return order, new
+
+
 def _classes(p: Pieces, window: int, total: np.ndarray, at: np.ndarray, blocks: tuple[int, ...]) -> None:
     """Adds up, for every window, the occurrences of all equal windows of its group, into ``total``.
 
@@ -38,10 +63,10 @@ def _classes(p: Pieces, window: int, total: np.ndarray, at: np.ndarray, blocks:
     block = blocks[0]
     cut, source, shift = split(p, window, block)
     where = at[source] + shift
-    order = np.argsort(cut.group, kind="stable")
-    key = cut.group[order]
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-    k = np.diff(np.append(head, len(key)))
+    core = np.add(cut.start, cut.distance % block)
+    order, new = exact_groups(cut.values, core, window - block + 1, cut.group)
+    head = np.flatnonzero(new)
+    k = np.diff(np.append(head, len(order)))
     if block == 1:  # the core is the window
         sums = np.add.reduceat(cut.value[order], head) if len(head) else np.zeros(0, np.int64)
         total[where[order]] = np.maximum(total[where[order]], np.repeat(sums, k))
@@ -120,7 +145,7 @@ def _bytes(buf: np.ndarray, offsets: np.ndarray) -> Symbols:
     return Symbols(buf, offsets)
 
 
-SPEC = Spec(WINDOW, GRAM, _bytes, kernel, by_id=False)
+SPEC = Spec(WINDOW, GRAM, _bytes, kernel, by_id=False, decode=lambda buf, offsets: (buf, offsets[:-1]))
 
 
 def _applied(docs: DataFrame, keep_text: bool) -> DataFrame:

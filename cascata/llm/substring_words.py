@@ -3,13 +3,16 @@
 A word goes if a window of WINDOW words that covers it also starts in a document with a smaller doc_id.
 Within each group of candidate contents (repeats.py) the suffixes are split by prefixes of growing length
 until a part fits in memory (a part of one suffix is dropped at once); each part's suffixes are sorted
-over the next words and turned into a suffix tree.  The leaves below an internal node of depth WINDOW or
-more share that many words; the smallest doc_id among them decides.
+and turned into the internal nodes of a suffix tree with a stack over their common prefixes.  The leaves
+below an internal node of depth WINDOW or more share that many words; the smallest doc_id below the highest
+such node decides.  Within a group words are compared as bytes; across groups by 64-bit hashes (BLAKE2b for
+long words).  A window with one content around its anchor in the whole corpus needs no tree.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import ranges
 from .repeats import Pieces, Spec, Symbols, cover, with_runs
-from .wordhash import document_words, plain_words, span_hashes
+from .wordhash import document_words, plain_words, span_hashes, word_hashes
 
 WINDOW, GRAM = 50, 12
 #: Suffixes in a part that is sorted and turned into a tree.
@@ -34,7 +37,7 @@ def partition(values: np.ndarray, start: np.ndarray, group: np.ndarray, window:
     Prefixes grow by STEP words at a time, up to the window; parts of single suffixes vanish.
     """
     done: list[np.ndarray] = []
-    open_, key = np.arange(len(start)), group.view(np.uint64)
+    open_, key = np.arange(len(start)), group.astype(np.uint64)
     depth = 0
     while len(open_):
         step = min(STEP, window - depth)
@@ -55,36 +58,98 @@ def partition(values: np.ndarray, start: np.ndarray, group: np.ndarray, window:
     return done
 
 
-def deep_nodes(rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix tree of the suffixes whose first ``window`` symbols (and group) are the rows, cut at that depth.
+@dataclass
+class Nodes:
+    """Internal nodes of a suffix tree, children before their parents: words from the root, leaves, and the least value below."""
 
-    Returns the order of the leaves and, for each leaf in that order, the number of the deep internal node
-    (or single leaf) above it, from the common prefixes of neighbouring leaves.
+    depth: list[int]
+    left: list[int]
+    right: list[int]  # the last leaf
+    least: list[int]
+    top: list[bool]  # whether no node above is deep enough
+
+
+def sorted_suffixes(rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows (suffixes, padded), and the common prefix of each with the one before it in that order."""
+    order = np.argsort(np.ascontiguousarray(rows.astype(">u4")).view(f"V{4 * rows.shape[1]}").ravel(), kind="stable")
+    common = np.zeros(len(rows), np.int64)
+    for lo in range(1, len(order), 4096):
+        here, before = order[lo : lo + 4096], order[lo - 1 : lo + 4095][: len(order) - lo]
+        differs = rows[here] != rows[before]
+        same = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+        common[lo : lo + 4096] = np.minimum(same, np.minimum(length[here], length[before]))
+    return order, common
+
+
+def deep_nodes(common: np.ndarray, value: np.ndarray, least_depth: int) -> Nodes:
+    """The internal nodes of depth ``least_depth`` or more, from the common prefixes of neighbouring leaves.
+
+    The stack holds the nodes on the path to the last leaf; a shorter common prefix closes the deeper ones.
+    A closed node is a repeat that cannot be longer to the right.
     """
-    wide = np.ascontiguousarray(rows.astype(">u8"))
-    order = np.argsort(wide.view(f"V{8 * rows.shape[1]}").ravel(), kind="stable")
-    differs = (rows[order[1:]] != rows[order[:-1]])
-    common = np.where(differs.any(1), differs.argmax(1), rows.shape[1])  # depth of the neighbours' lowest common node
-    return order, np.cumsum(np.append(0, common < rows.shape[1]))
+    nodes = Nodes([], [], [], [], [])
+    stack: list[list[int]] = []  # depth, left leaf, least value
+
+    def close(right: int) -> list[int]:
+        last = stack.pop()
+        nodes.depth.append(last[0])
+        nodes.left.append(last[1])
+        nodes.right.append(right)
+        nodes.least.append(last[2])
+        nodes.top.append(not stack)
+        if stack:
+            stack[-1][2] = min(stack[-1][2], last[2])
+        return last
+
+    deep = np.flatnonzero(common >= least_depth)
+    before = -1
+    for at, depth, one, two in zip(deep.tolist(), common[deep].tolist(), value[deep - 1].tolist(), value[deep].tolist()):
+        if at != before + 1:
+            while stack:
+                close(before)
+        left, low = at - 1, min(one, two)
+        while stack and stack[-1][0] > depth:
+            if len(stack) > 1 and stack[-2][0] >= depth:
+                close(at - 1)
+                continue
+            # the closed node hangs below a new one of this depth
+            last = stack[-1]
+            stack.append([depth, last[1], last[2]])
+            stack[-1], stack[-2] = stack[-2], stack[-1]
+            close(at - 1)
+        if stack and stack[-1][0] == depth:
+            stack[-1][2] = min(stack[-1][2], two)
+        else:
+            stack.append([depth, left, low])
+        before = at
+    while stack:
+        close(before)
+    return nodes
 
 
 def kernel(p: Pieces, window: int = WINDOW) -> np.ndarray:
     """The smallest doc_id in which every window of every piece starts, within its group."""
     least = np.repeat(p.value, p.count)
     start = ranges(p.start, p.count)
-    group = np.repeat(p.group, p.count)
-    columns = np.arange(window)
+    length = np.repeat(p.start + p.count + window - 1, p.count) - start
+    group = np.repeat(np.unique(p.group, return_inverse=True)[1], p.count)
     for part in partition(p.values, start, group, window):
         # several small parts are sorted together: the group leads each row
         for lo, hi in _cuts(part, group):
             own = part[lo:hi]
-            rows = np.empty((len(own), window + 1), np.uint64)
-            rows[:, 0] = group[own].view(np.uint64)
-            rows[:, 1:] = p.values[start[own][:, None] + columns]
-            order, node = deep_nodes(rows, window)
-            best = np.full(node[-1] + 1 if len(node) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(best, node, least[own[order]])
-            least[own[order]] = np.minimum(least[own[order]], best[node])
+            wide = int(length[own].max())
+            rows = np.zeros((len(own), wide + 1), np.uint32)
+            rows[:, 0] = group[own]
+            place = start[own][:, None] + np.arange(wide)
+            inside = np.arange(wide) < length[own][:, None]
+            rows[:, 1:] = np.where(inside, p.values[np.minimum(place, len(p.values) - 1)] + 1, 0)
+            order, common = sorted_suffixes(rows, length[own] + 1)
+            own = own[order]
+            nodes = deep_nodes(common, least[own], window + 1)
+            top = np.array(nodes.top, bool)
+            left, right = np.array(nodes.left, np.int64)[top], np.array(nodes.right, np.int64)[top]
+            size = right - left + 1
+            least[own[ranges(left, size)]] = np.repeat(np.array(nodes.least, np.int64)[top], size)
     return least
 
 
@@ -105,10 +170,19 @@ def _cuts(part: np.ndarray, group: np.ndarray):
 
 def _word_symbols(buf: np.ndarray, offsets: np.ndarray) -> Symbols:
     starts, ends, at = document_words(buf, offsets, _WORDS)
-    return Symbols(span_hashes(buf, starts, ends), at)
+    return Symbols(word_hashes(buf, starts, ends), at, (starts, ends))
+
+
+def word_numbers(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of several texts as numbers, equal for equal bytes alone, and the first word of each text."""
+    starts, ends, at = document_words(buf, offsets, _WORDS)
+    text = pa.py_buffer(np.ascontiguousarray(buf[_WORDS[buf]]))
+    places = pa.py_buffer(np.append(0, np.cumsum(ends - starts)).astype(np.int64))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, places, text])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64), at[:-1]
 
 
-SPEC = Spec(WINDOW, GRAM, _word_symbols, kernel, by_id=True)
+SPEC = Spec(WINDOW, GRAM, _word_symbols, kernel, by_id=True, decode=word_numbers)
 
 
 def _words_gone(raw: bytes, runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

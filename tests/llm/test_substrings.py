@@ -80,6 +80,66 @@ def test_kernels_split_large_groups(spark):
     assert got == brute_words(rows)
 
 
+def long_words():
+    """Two different words of 1024 bytes that sums of powers with an odd multiplier cannot tell apart."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_compared_as_bytes(spark):
+    rng = random.Random(7)
+    one, two = long_words()
+    left, right = words(rng, 30), words(rng, 30)
+    rows = [(1, f"{left} {one} {right}"), (2, f"{left} {two} {right}"), (3, f"x {left} {one} {right} y")]
+    got = sorted((tuple(r) for r in substring_words.digests(docs_frame(spark, rows)).collect()), key=str)
+    assert got == brute_words(rows) and [r[2] for r in got] == [0, 0, 61]
+
+
+def test_one_line_in_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MANY", 100)
+    monkeypatch.setattr(repeats, "VAST", 1000)
+    rng = random.Random(12)
+    line = words(rng, 50)
+    rows = [(k, f"{words(rng, 3, 90000)} {line} {words(rng, 3, 90000)}") for k in range(10_000)]
+    got = sorted((tuple(r) for r in substring_words.digests(docs_frame(spark, rows)).collect()), key=str)
+    assert got == brute_words(rows)
+
+
+def test_nodes_of_a_suffix_tree_against_all_substrings():
+    rng = random.Random(13)
+    for _ in range(200):
+        text = [rng.randint(1, rng.randint(1, 3)) for _ in range(rng.randint(2, 40))]
+        value = [rng.randrange(9) for _ in text]
+        rows, length = np.zeros((len(text), len(text)), np.uint32), np.arange(len(text), 0, -1)
+        for k in range(len(text)):
+            rows[k, : len(text) - k] = text[k:]
+        order, common = substring_words.sorted_suffixes(rows, length)
+        assert order.tolist() == sorted(range(len(text)), key=lambda k: text[k:])
+        nodes = substring_words.deep_nodes(common, np.array(value)[order], 2)
+        got = {(d, frozenset(order[a : b + 1].tolist()), v) for d, a, b, v in zip(nodes.depth, nodes.left, nodes.right, nodes.least)}
+        assert len(got) == len(nodes.depth)
+        expected = set()
+        starts = {}
+        for a in range(len(text)):
+            for b in range(a + 2, len(text) + 1):
+                starts.setdefault(tuple(text[a:b]), set()).add(a)
+        longest = {}
+        for span, at in starts.items():
+            if len(at) > 1:
+                longest[frozenset(at)] = max(longest.get(frozenset(at), 0), len(span))
+        for at, depth in longest.items():
+            expected.add((depth, at, min(value[k] for k in at)))
+        assert got == expected
+
+
+def test_equal_keys_of_different_spans():
+    values = np.frombuffer(b"abcabdabcxyzabd", np.uint8)
+    start = np.array([0, 3, 6, 9, 12])
+    order, new = substring_bytes.exact_groups(values, start, 3, np.array([5, 5, 5, 1, 5]))
+    groups = np.split(order, np.flatnonzero(new)[1:])
+    assert sorted(sorted(g.tolist()) for g in groups) == [[0, 2], [1, 4], [3]]
+
+
 def test_outputs_and_empty_tables(spark):
     rows = odd_rows()
     by_id = {r["doc_id"]: r for r in substring_bytes.remove_repeats(docs_frame(spark, rows[6:18])).collect()}
