@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 #: Placeholders of attachment types, and the tokens that one unit of each expands to.
 PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+#: Placeholder of parts of any other type; they are recorded as attachments of no tokens.
+OTHER = "<|other|>"
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
 LOSS_ROLES = frozenset({"assistant"})
 PART_TYPE = "array<struct<type:string,text:string,ref:string,units:long>>"
@@ -53,10 +55,7 @@ class Flattener:
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown content part {kind!r}")
-        method(part)
+        getattr(self, f"visit_{kind}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.add(part.get("text") or "")
@@ -69,15 +68,19 @@ class Flattener:
 
     visit_image = visit_audio = visit_document = attach
 
+    def visit_other(self, part: dict) -> None:
+        self.attachments.append({"type": part["type"], "ref": part.get("ref"), "offset": self.size, "tokens": 0})
+        self.add(OTHER)
+
 
 def flatten(parts: list[dict]) -> tuple[str, list[dict]]:
     """Content with escaped texts and placeholders; attachments with offsets into it.
 
     Neighbouring texts are joined before they are escaped, so that a control string that two parts
-    form together is escaped too.
+    form together is escaped too.  Null parts say nothing.
     """
     joined: list[dict] = []
-    for part in parts:
+    for part in filter(None, parts):
         if (part.get("type") or "text") == "text" and joined and (joined[-1].get("type") or "text") == "text":
             joined[-1] = {"type": "text", "text": (joined[-1].get("text") or "") + (part.get("text") or "")}
         else:
@@ -115,7 +118,7 @@ def format_turns(conversations: DataFrame, parts: str | None = None) -> DataFram
     Input: conv_id, turn, role, and either text or the column that ``parts`` names (an array of typed parts, see PART_TYPE).
     A conversation's formatted text is its segments in order of ``position``.  Turns are ordered by turn
     (null first), then role, then text, so ties have one defined order; repeated rows are turns of their
-    own.  Null role or text is empty.  Conversations are dealt out by conv_id and sorted by Spark, and the
+    own.  Null role or text is empty; a part of an unknown type becomes a placeholder.  Conversations are dealt out by conv_id and sorted by Spark, and the
     kernel holds one turn at a time, so a long conversation needs no more memory than its longest turn.
     """
     content = F.col(parts).cast(PART_TYPE) if parts else F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units")))
@@ -143,7 +146,10 @@ def format_turns(conversations: DataFrame, parts: str | None = None) -> DataFram
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the segments say, by conversation; expects format_turns()'s order within partitions."""
+    """Digests of what the segments say, by conversation, in format_turns()'s order; rows in another order raise.
+
+    A conversation is read by one task, a turn at a time, as a digest of all its turns runs through them in order.
+    """
 
     def run(batches):
         state = None  # [conv_id, n_turns, turns hash, loss characters, loss hash, formatted characters]
@@ -153,8 +159,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for conv, segment, lo, hi, loss in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if state is None or state[0] != conv:
+            for conv, segment, lo, hi, loss, position in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                new = state is None or state[0] != conv
+                if position != (0 if new else state[1]):
+                    raise ValueError(f"turn {position} of conversation {conv} is out of order")
+                if new:
                     if state is not None:
                         done.append(row(state))
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -171,4 +180,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([row(state)], schema=arrow)
 
     arrow = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return formatted.select("conv_id", "segment", "content_start", "content_end", "in_loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "segment", "content_start", "content_end", "in_loss", "position").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

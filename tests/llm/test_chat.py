@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -33,6 +34,18 @@ def test_typed_parts(spark):
     assert two["segment"] == "<|im_start|>assistant\n<|im_end|>\n" and two["in_loss"] and not one["in_loss"]
 
 
+def test_unknown_and_null_parts():
+    segment, _, _, found = chat.render("user", [{"type": "text", "text": "a"}, None, {"type": "video", "ref": "v", "units": 3}, {"type": "text", "text": "b"}])
+    assert segment == "<|im_start|>user\na<|other|>b<|im_end|>\n" and [(a["type"], a["ref"], a["tokens"]) for a in found] == [("video", "v", 0)]
+
+
+def test_turns_out_of_order_raise(spark):
+    table = spark.createDataFrame([(1, k, "user", "x") for k in range(3)], "conv_id long, turn long, role string, text string")
+    shuffled = chat.format_turns(table).coalesce(1).orderBy("position", ascending=False)
+    with pytest.raises(Exception, match="out of order"):
+        chat.read_back(shuffled).collect()
+
+
 def test_odd_rows(spark):
     rows = [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL), (1, 1, "assistant", "b"), (1, 0, None, None), (1, None, "system", ""), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (None, 0, "assistant", "<\\|"), (3, 0, "a\nb", "long " * 50000)]
     full = [(*r, 1, "clash") for r in rows]
