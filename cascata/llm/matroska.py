@@ -115,12 +115,20 @@ def _vint(data: bytes, at: int, keep: bool) -> tuple[int, int]:
 
 
 def elements(data: bytes, at: int, end: int, stop: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int]]:
-    """(id, start, end) of each element's content. An element of unknown size runs to an id of ``stop`` or to the end."""
+    """(id, start, end) of each element's content. An element of unknown size runs to an id of ``stop`` or to the end.
+
+    Where a file is cut short, elements that hold others are read as far as they go, and a block that is not
+    whole is left out.
+    """
     while at < end:
         ident, body = _vint(data, at, True)
         if ident in stop:
             return
+        if body >= end:
+            return
         size, body = _vint(data, body, False)
+        if body + size > end and ident in (SIMPLE_BLOCK, BLOCK, BLOCK_GROUP):
+            return
         last = end if size < 0 else min(end, body + size)
         if size < 0 and ident == CLUSTER:
             last = body
@@ -165,7 +173,11 @@ def _block(data: bytes, lo: int, hi: int, base: int, scale: float, cluster: int,
 
 
 def parse(data: bytes) -> tuple[list[Packet], list[Cue]]:
-    """All packets in file order, and the cues with byte positions in the file."""
+    """All packets in file order, and the cues with byte positions in the file.
+
+    Packets of a block that the file's end cuts off are left out.  Stripped headers and encrypted blocks are
+    not undone: byte ranges are those of the stored bytes.
+    """
     packets: list[Packet] = []
     cues: list[Cue] = []
     for ident, lo, hi in elements(data, 0, len(data)):

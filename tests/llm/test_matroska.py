@@ -61,3 +61,11 @@ def test_packet_table(spark):
     assert [(r["doc_id"], r["packet"], r["size"]) for r in rows] == [(1, 0, 192), (1, 1, 192), (1, 2, 192), (2, 0, 192), (3, 0, 192)]
     empty = spark.createDataFrame([(1, None), (2, b"")], "doc_id long, media binary")
     assert mk.packet_table(empty).count() == 0
+
+
+def test_a_file_cut_short():
+    whole = mk.write(bytes(range(256)) * 30)
+    every, _ = mk.parse(whole)
+    for n in range(1, len(whole), 37):
+        packets, _ = mk.parse(whole[:-n])
+        assert packets == every[: len(packets)]
