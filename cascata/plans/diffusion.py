@@ -9,7 +9,8 @@ from ..coins import happens_sql, u32_sql
 from ..operators import fixpoint, immunize, kernels, robust, seeding, sketches, transforms, worlds
 from ..runtime import cut
 from ..sources.derived import SUPP_DEN, SUPP_SQL, TRADE_DEN, TRADE_SQL, supp, trade
-from .registry import query
+from . import analytics  # noqa: F401  (its SQL is reused)
+from .registry import ORACLES, query
 
 WORLDS, SIM_WORLDS, SKETCHES = 20, 10, 200
 #: A sparser activation probability for the supplier graph, so that worlds differ.
@@ -496,3 +497,25 @@ def adversarial_seed(spark, sf_dir):
     rr, _ = _by_strategy(spark, sf_dir)
     found = seeding.greedy_cover(sketches.worst_case(rr).select("rr_id", "node"), 1)
     return spark.createDataFrame([(v, int(g)) for v, g in found], "node long, gain long")
+
+
+LOG_DEN = 2500
+LOGGED = f"""e AS (SELECT src, dst, CAST(floor(weight) AS BIGINT) AS c FROM ({ORACLES["edges_after_changelog"]})),
+    n AS (SELECT user_id AS id FROM events UNION SELECT CAST(floor(value) AS BIGINT) % 40 FROM events)"""
+
+
+@query(f"{rr_sql(live_sql(LOG_DEN, SKETCHES, 'rric', 'rr_id')).replace(f'{SUPP}, {N}', LOGGED)} SELECT node, count(*) AS covered FROM r GROUP BY node")
+def sketches_after_changelog(spark, sf_dir):
+    """Sketches of the graph after half of the log, brought up to date with the rest of it."""
+    from ..operators import dynamic
+    from ..streaming import changelog
+    from .analytics import _log
+
+    log = cut(_log(spark, sf_dir))
+    ids = cut(log.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    none = spark.createDataFrame([], "src long, dst long, weight double")
+    half = log.agg(F.floor(F.avg("seq"))).first()[0]
+    graph = lambda rows: cut(changelog.apply_log(none, ids, rows)[0].select("src", "dst", F.floor("weight").cast("long").alias("c")))
+    old, new = graph(log.filter(F.col("seq") <= half)), graph(log)
+    rr = cut(sketches.rr_sets(old, ids, LOG_DEN, SKETCHES).select("rr_id", "node"))
+    return sketches.influence(dynamic.refreshed(rr, (old, ids), (new, ids), LOG_DEN, SKETCHES), 1, SKETCHES).select("node", "covered")
