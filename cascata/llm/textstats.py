@@ -60,7 +60,10 @@ INSULTS = frozenset(
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton ta tes vous votre usted ti tus".split())
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[*@$!0-9#]+[^\W\d_]+)+(?![^\W_])")
+#: Runs that a masked word may lie in, and the words in them: letters that signs or digits part, between non-letters.
+_RUN = re.compile(r"(?:[^\W_]|[*@$!#])+")
+_PART = re.compile(r"[^\W\d_]+")
+_MASKS = frozenset("*@$!#0123456789")
 _LETTER = str.maketrans("0134578@$!", "oieastbasi")
 #: Words between an insult and a second-person word that still count as near.
 NEAR = 6
@@ -84,6 +87,31 @@ def _unmask(token: str) -> bool:
     return False
 
 
+def masked_words(low: str) -> list[str]:
+    """Words with signs or digits inside, each from its first letter to its last, of a lower-case text.
+
+    A word begins with a letter behind no letter or digit, and ends as far on as it can with a letter before
+    none.  Every character is looked at a bounded number of times.
+    """
+    found = []
+    for run in _RUN.finditer(low):
+        token = run.group()
+        if token.isalpha():
+            continue
+        parts = [m.span() for m in _PART.finditer(token)]
+        k = 0
+        while k < len(parts):
+            last = k  # parts k to last are joined by signs and digits
+            while last + 1 < len(parts) and _MASKS.issuperset(token[parts[last][1] : parts[last + 1][0]]):
+                last += 1
+            end = next((j for j in range(last, k, -1) if parts[j][1] == len(token) or not token[parts[j][1]].isalnum()), k)
+            first = next((j for j in range(k, end) if parts[j][0] == 0 or not token[parts[j][0] - 1].isalnum()), end)
+            if first < end:
+                found.append(token[parts[first][0] : parts[end][1]])
+            k = last + 1
+    return found
+
+
 def terms_of(text: str) -> set[str]:
     """The distinct lower-case words of a text (marked by a final space) and their beginnings."""
     words = set(_WORD.findall(text.lower()))
@@ -120,7 +148,7 @@ class ToxicityFeatures:
             n = max(1, len(words))
             hits = [k for k, w in enumerate(words) if w in INSULTS]
             near = sum(any(w in SECOND_PERSON for w in words[max(0, k - NEAR) : k + NEAR + 1]) for k in hits)
-            masked = _MASKED.findall(low)
+            masked = masked_words(low)
             shouted = sum(1 for w in _WORD.findall(text) if len(w) > 1 and w.isupper()) if counts[i, at["upper"]] > 0.1 * sizes[i] else 0
             learned = list(filter(self.learned, words)) if self.lexicon else []
             out[i, :6] = len(hits), len(hits) / n, len({words[k] for k in hits}), near / n, sum(map(_unmask, masked)), len(masked) / n

@@ -146,14 +146,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = FIT_ROWS) -> tup
 
     With no learning rows at all the model's score is the constant 0.
     """
-    rows = cut(labelled_rows(docs, labels, "toxic", learn, limit).dropDuplicates(["doc_id"]).withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0))
+    rows = cut(labelled_rows(docs, labels, "toxic", learn, limit).distinct().withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0))
     tally = {r["y"]: r["n"] for r in rows.filter("NOT aside").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     kernel = ToxicityFeatures(learn_lexicon(rows.filter("NOT aside"), tally.get(1, 0), tally.get(0, 0)))
-    table = feature_rows(rows, kernel, ("y", "aside")).toPandas().sort_values("doc_id")
+    table = feature_rows(rows, kernel, ("y", "aside")).toPandas()
     if not len(table):
         x, y, aside = np.zeros((1, len(TOXICITY_FEATURES))), np.zeros(1), np.zeros(1, bool)
     else:
         x, y, aside = np.stack(table["features"].to_numpy()), table["y"].to_numpy(float), table["aside"].to_numpy(bool)
+    # an order that does not depend on where the rows come from, also where an id has several texts
+    order = np.lexsort((*x.T, y))
+    x, y, aside = x[order], y[order], aside[order]
     if aside.all() or aside.sum() < 10:
         aside = np.zeros(len(x), bool)
     trees = fit_trees(x[~aside], y[~aside])
