@@ -1,10 +1,16 @@
 """Quality classifier (operator 9): positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are rows labelled 1 that may be learned from; unlabelled text is a hash sample of the
-whole table.  With class prior p, logistic losses l and means over positives (P) and unlabelled rows (U),
+Trusted positives are rows labelled 1 that may be learned from; all rows of the table are unlabelled text.
+Every row's feature vector falls into one of a fixed number of cells of the feature space; all rows are
+counted by cell, and some rows of each, picked by a hash, stand for it with the weight of its count.
+With class prior p, logistic losses l and means over positives (P) and weighted unlabelled rows (U),
 the risk  p E_P[l(+)] + max(0, E_U[l(-)] - p E_P[l(-)])  is minimised; where the bracket falls below
 zero the step goes against it, as the non-negative estimator prescribes.  The model is a one-layer
 network on standardised dense features.
+
+The prior is estimated from positives and unlabelled rows alone: a first network ranks both, and the share
+of unlabelled rows above a threshold over that of held-out positives is at least the prior and near it where
+few others score so high; the threshold with the least upper confidence bound is taken.
 """
 
 from __future__ import annotations
@@ -12,15 +18,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
-from .textstats import QUALITY_FEATURES, feature_rows, quality_features, score_rows
+from .common import crc_bucket, cut
+from .textstats import QUALITY_FEATURES, feature_rows, quality_features
 from .toxicity import labelled_rows
 
-#: Labelled rows and unlabelled rows that the model is fitted on, at most.
-FIT_ROWS, UNLABELLED_ROWS = 20_000, 20_000
+#: Labelled rows that the model is fitted on, at most.
+FIT_ROWS = 20_000
+#: Directions that cells are cut along, and the borders on each, in deviations of the positives.
+DIRECTIONS, BORDERS = 6, (-2.0, 0.0, 2.0)
+#: Rows that stand for the unlabelled table if they are spread over the cells, and the least of each cell.
+SPREAD, LEAST_ROWS = 20_000, 16
+#: Upper confidence in the estimate of the prior.
+DELTA = 0.1
 
 
 @dataclass
@@ -40,15 +53,65 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
 
-def estimate_prior(y: np.ndarray) -> float:
-    """Share of good text, from the labelled learning rows with one added to either class."""
-    return float((y.sum() + 1) / (len(y) + 2))
-
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, weight: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows; ``positive`` are scores of rows that were not learned from.
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 1500, batch: int = 1024, rate: float = 0.01, decay: float = 1e-4, seed: int = 1) -> Network:
-    """Minimise the non-negative risk with Adam on mini-batches."""
+    ``weight`` rows stand behind each score of ``unlabelled``.
+    """
+    n, m = len(positive), weight.sum()
+    borders = np.unique(positive)
+    above = lambda scores, w: w.sum() - np.concatenate(([0], np.cumsum(w[np.argsort(scores)])))[np.searchsorted(np.sort(scores), borders)]
+    p, u = above(positive, np.ones(n)) / n, above(unlabelled, weight) / m
+    slack = np.sqrt(np.log(4 / DELTA) / 2 / n) + np.sqrt(np.log(4 / DELTA) / 2 / m)
+    best = int(np.argmin((u + slack) / p))
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def cell_of(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Number of the cell of every feature vector."""
+    axes = np.random.default_rng(seed).normal(size=(x.shape[1], DIRECTIONS))
+    at = np.clip((x - mean) / scale, -8, 8) @ (axes / np.linalg.norm(axes, axis=0))
+    return np.searchsorted(BORDERS, at.ravel()).reshape(at.shape) @ (len(BORDERS) + 1) ** np.arange(DIRECTIONS)
+
+
+def feature_table(docs: DataFrame, mean: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """doc_id, pick (0 to 1, by a hash of row and text), cell and features of every row, in the shared folder."""
+    model = docs.sparkSession.sparkContext.broadcast((mean, scale))  # two short vectors
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                x = quality_features(part.column(2))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(cell_of(x, *model.value).astype(np.int64)), flat], names=["doc_id", "pick", "cell", "features"])
+
+    text = docs["text"].cast("string")
+    pick = F.shiftrightunsigned(F.xxhash64(docs["doc_id"].cast("long"), text, F.lit("unlabelled")), 11) / F.lit(float(1 << 53))
+    return cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), pick.alias("pick"), text.alias("text")).mapInArrow(run, "doc_id long, pick double, cell long, features array<double>"))
+
+
+def unlabelled_rows(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors that stand for the whole table, and the number of rows behind each."""
+    counts = features.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # at most a row per cell
+    cells = max(1, counts.count())
+    own = F.lit(float(max(LEAST_ROWS, SPREAD // cells))) / F.col("n")
+    found = features.join(F.broadcast(counts), "cell").filter(F.col("pick") < own).select("cell", "n", "features").toPandas()
+    if not len(found):
+        return np.zeros((0, len(QUALITY_FEATURES))), np.zeros(0)
+    x = np.stack(found["features"].to_numpy())
+    weight = (found["n"] / found.groupby("cell")["n"].transform("size")).to_numpy(float)
+    order = np.lexsort(x.T)
+    return x[order], weight[order]
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, weight: np.ndarray | None = None, hidden: int = 24, steps: int = 1500, batch: int = 1024, rate: float = 0.01, decay: float = 1e-4, seed: int = 1) -> Network:
+    """Minimise the non-negative risk with Adam on mini-batches; ``weight`` rows stand behind each unlabelled vector."""
     rng = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-6
+    share = np.full(len(unlabelled), 1 / len(unlabelled)) if weight is None else weight / weight.sum()
+    mean = share @ unlabelled
+    scale = np.sqrt(share @ (unlabelled - mean) ** 2) + 1e-6
+    rise = np.cumsum(share)
     d = unlabelled.shape[1]
     w = [rng.normal(0, 1 / np.sqrt(d), (d, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     zp, zu = (np.clip((v - mean) / scale, -8, 8) for v in (positive, unlabelled))
@@ -56,7 +119,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: i
     sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -40, 40)))
     softplus = lambda t: np.logaddexp(0, t)
     for step in range(1, steps + 1):
-        p, u = zp[rng.integers(0, len(zp), batch)], zu[rng.integers(0, len(zu), batch)]
+        p, u = zp[rng.integers(0, len(zp), batch)], zu[np.minimum(np.searchsorted(rise, rng.random(batch), side="right"), len(zu) - 1)]
         x = np.concatenate([p, u])
         hiddens = np.tanh(x @ w[0] + w[1])
         f = hiddens @ w[2] + w[3]
@@ -79,19 +142,29 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: i
     return Network(mean, scale, w[0], w[1], w[2], float(w[3][0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = FIT_ROWS, unlabelled_limit: int = UNLABELLED_ROWS) -> Network:
-    """Without trusted positives or without text the model is the prior alone."""
-    rows = feature_rows(labelled_rows(docs, labels, "quality", learn, limit), quality_features, ("y",)).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    # the sample is picked by a hash of the id; only ids are sorted, and they are bounded
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(unlabelled_limit).distinct()
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    pool = feature_rows(picked, quality_features).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+def fit_with_prior(positive: np.ndarray, unlabelled: np.ndarray, weight: np.ndarray) -> tuple[Network, float]:
+    """The network and the prior that it was fitted with; every other positive is held out of the first ranking."""
+    first = fit_pu(positive[::2], unlabelled, 0.5, weight)
+    held = positive[1::2] if len(positive) > 1 else positive
+    prior = estimate_prior(first.margin(held), first.margin(unlabelled), weight)
+    return fit_pu(positive, unlabelled, prior, weight), prior
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn, limit: int = FIT_ROWS) -> tuple[Network, DataFrame]:
+    """The model and the feature table; without trusted positives or without text every score is a half."""
+    rows = feature_rows(labelled_rows(docs, labels, "quality", learn, limit), quality_features, ("y",)).toPandas()
     y = rows["y"].to_numpy(float)
-    prior = estimate_prior(y)
     d = len(QUALITY_FEATURES)
-    if not (y == 1).any() or not len(pool):
-        return Network(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), float(np.log(prior / (1 - prior))))
-    return fit_pu(np.stack(rows["features"][y == 1].to_numpy()), np.stack(pool["features"].to_numpy()), prior)
+    none = Network(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0)
+    if not (y == 1).any():
+        return none, feature_table(docs, none.mean, none.scale)
+    # in an order that does not depend on where the rows come from
+    positive = np.stack(rows["features"][y == 1].to_numpy())
+    positive = positive[np.lexsort(positive.T)]
+    positive = positive[np.random.default_rng(7).permutation(len(positive))]
+    features = feature_table(docs, positive.mean(0), positive.std(0) + 1e-6)
+    unlabelled, weight = unlabelled_rows(features)
+    return (fit_with_prior(positive, unlabelled, weight)[0] if len(unlabelled) else none), features
 
 
 def score(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame:
@@ -99,8 +172,15 @@ def score(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame:
 
     Null and empty texts are scored like any other, repeated rows alike.
     """
-    model = fit(docs, labels, learn or (lambda c: F.lit(True)))
-    return score_rows(docs, quality_features, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    network, features = fit(docs, labels, learn or (lambda c: F.lit(True)))
+    model = docs.sparkSession.sparkContext.broadcast(network)  # some KB, whatever the corpus
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield pa.record_batch([batch.column(0), pa.array(model.value(x), pa.float64())], names=["doc_id", "score"])
+
+    return features.select("doc_id", "features").mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def learning_rows(column):
@@ -112,4 +192,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn=None) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
     from .textstats import filter_rows
 
-    return filter_rows(docs, quality_features, fit(docs, labels, learn or learning_rows))
+    return filter_rows(docs, quality_features, fit(docs, labels, learn or learning_rows)[0])

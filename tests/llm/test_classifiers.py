@@ -1,3 +1,6 @@
+import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -6,9 +9,9 @@ import pyarrow as pa
 
 from cascata.llm import quality, toxicity
 from cascata.llm.queries import op4_toxicity, op9_quality
-from cascata.llm.textstats import QUALITY_FEATURES, TOXICITY_FEATURES, ToxicityFeatures, quality_features
+from cascata.llm.textstats import QUALITY_FEATURES, TOXICITY_FEATURES, ToxicityFeatures, masked_words, quality_features
 
-from .helpers import docs_frame, odd_rows
+from .helpers import docs_frame, odd_rows, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -76,3 +79,88 @@ def test_non_negative_risk_separates():
     good, bad = rng.normal(1.5, 1, (3000, 3)), rng.normal(-1.5, 1, (1000, 3))
     model = quality.fit_pu(good[:800], np.concatenate([good[800:], bad]), 2200 / 3200, steps=600)
     assert (model(good) > 0.5).mean() > 0.95 and (model(bad) < 0.5).mean() > 0.95
+
+
+def test_prior_of_shifted_samples():
+    rng = np.random.default_rng(2)
+    for share in (0.3, 0.6, 0.85):
+        good = lambda n: rng.normal(1.5, 1, (n, 3))
+        n = int(6000 * share)
+        pool = np.concatenate([good(n), rng.normal(-1.5, 1, (6000 - n, 3))])
+        model, prior = quality.fit_with_prior(good(2000), pool, np.ones(6000))
+        assert abs(prior - share) < 0.05
+        assert (model(good(2000)) > 0.5).mean() > 0.9
+        # rows that stand for several count as many
+        halved = np.concatenate([pool[:n], pool[n::2]])
+        weight = np.concatenate([np.ones(n), np.full(len(halved) - n, 2.0)])
+        assert abs(quality.fit_with_prior(good(2000), halved, weight)[1] - share) < 0.06
+
+
+def labelled_rows(n=60):
+    rng = random.Random(3)
+    rows = [(k, words(rng, 40) + (" You IDIOT! you st*pid m0ron!!" if k % 2 else " fine.")) for k in range(n)]
+    return rows + [(k, words(rng, 30)) for k in range(0, n, 7)] + odd_rows()
+
+
+def labels_of(spark, n=60):
+    return spark.createDataFrame([(k, (k + 1) % 2, k % 2) for k in range(n)], "doc_id long, quality int, toxic int")
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    """Some ids have two texts here."""
+    rows, labels = labelled_rows(), labels_of(spark)
+    for module in (toxicity, quality):
+        one, two = (sorted((str(r["doc_id"]), round(r["score"], 9)) for r in module.score(docs_frame(spark, own), labels).collect()) for own in (rows, rows[::-1]))
+        assert one == two
+
+
+def test_scores_against_one_text_at_a_time(spark):
+    rows, labels = labelled_rows(), labels_of(spark)
+    docs = docs_frame(spark, rows)
+    every = lambda c: c.isNotNull() | c.isNull()
+    kernel, model = toxicity.fit(docs, labels, every)
+    network, _ = quality.fit(docs, labels, every)
+    for module, score in ((toxicity, lambda t: model(kernel(t))), (quality, lambda t: network(quality_features(t)))):
+        got = sorted((str(r["doc_id"]), round(r["score"], 9)) for r in module.score(docs, labels).collect())
+        assert got == sorted((str(i), round(float(score(pa.array([t], pa.string()))[0]), 9)) for i, t in rows)
+
+
+def test_splits_against_all_splits():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = (x[:, 0] + 0.5 * rng.normal(size=300) > 0.3).astype(float)
+    model = toxicity.fit_trees(x, y, trees=1, depth=2)
+    b, base = model.bins(x), 1 / (1 + np.exp(-model.base))
+    g, h = y - base, np.full(300, base * (1 - base))
+    gain = lambda own: g[own].sum() ** 2 / (h[own].sum() + 1)
+    expected = np.zeros(300)
+
+    def grow(rows, node, depth):
+        if depth == 2:
+            expected[rows] = 0.15 * g[rows].sum() / (h[rows].sum() + 1)
+            return
+        every = {}
+        for j in range(3):
+            for k in range(32):
+                left = rows[b[rows, j] <= k]
+                right = rows[b[rows, j] > k]
+                if len(left) and len(right):
+                    every[j, k] = gain(left) + gain(right) - gain(rows)
+        j, k = model.feature[0, node], model.split[0, node]
+        assert np.isclose(every[j, k], max(every.values()))
+        grow(rows[b[rows, j] <= k], 2 * node + 1, depth + 1)
+        grow(rows[b[rows, j] > k], 2 * node + 2, depth + 1)
+
+    grow(np.arange(300), 0, 0)
+    assert np.allclose(model.margin(x), model.base + expected)
+
+
+def test_masked_words_against_the_pattern():
+    pattern = re.compile(r"(?<![^\W_])[^\W\d_]+(?:[*@$!0-9#]+[^\W\d_]+)+(?![^\W_])")
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab1*!_ ²٣é-#") for _ in range(rng.randrange(14)))
+        assert masked_words(text) == pattern.findall(text)
+    began = time.time()
+    masked_words("a1*" * 350_000)
+    assert time.time() - began < 10  # the pattern takes hours
