@@ -41,3 +41,25 @@ def test_archives_are_cut_and_complete(spark, tmp_path):
     assert manifest.count() == 50
     names = warc.local_files(folder)
     assert len(names) > 5 and not any(n.startswith(".") for n in names)
+
+
+def test_attempts_in_different_orders_do_not_mix(spark, tmp_path):
+    rows = [(k, "u", f"page {k % 4} " * 30) for k in range(20)]
+    schema, folder = "page_id long, url string, html string", f"file://{tmp_path}/warc"
+    for order in (rows, rows[::-1]):
+        resolved = warc.resolve(spark.createDataFrame(order, schema)).coalesce(1)
+        manifest = spark.createDataFrame(warc.write_archives(resolved.orderBy("page_id") if order is rows else resolved.orderBy("payload", "page_id"), folder).collect(), warc.MANIFEST)
+        got = sorted(map(tuple, warc.verify_records(warc.read_archives(manifest)).collect()), key=str)
+        assert got == brute([(i, h) for i, _, h in rows])
+
+
+def test_fresh_headers():
+    data = warc.record(7, "http://a/\nb", b"<p>", "D", "revisit", 3, "http://c/", "2020-01-01T00:00:00Z")
+    for line in (b"WARC-Refers-To: <urn:page:3>", b"WARC-Refers-To-Target-URI: http://c/", b"WARC-Target-URI: http://a/ b", b"WARC-Date: 2020-01-01T00:00:00Z"):
+        assert line in data
+    assert warc.warcinfo("2020-01-01T00:00:00Z").startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+
+
+def test_a_revisit_without_its_response(spark):
+    records = spark.createDataFrame([(2, "revisit", "u", "D", 5, 1, None)], warc.RECORDS)
+    assert tuple(warc.verify_records(records).first()) == (2, None, None, "revisit", 1)
