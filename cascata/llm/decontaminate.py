@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_view
-from .wordhash import alphanumeric_words, document_words, lower_table, shingle_hashes, span_hashes
+from .common import chunks, fresh_folder, text_view
+from .wordhash import alphanumeric_words, document_words, lower_table, shingle_hashes, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Bytes of item text that one pass over the documents carries; a larger benchmark takes several passes.
@@ -50,7 +51,7 @@ def hashed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Word hashes of documents in ``buf`` (offsets relative to it), and word offsets."""
     low = _LOWER[buf]
     starts, ends, at = document_words(low, offsets, _WORDS)
-    return span_hashes(low, starts, ends), at
+    return word_hashes(low, starts, ends), at
 
 
 @dataclass
@@ -137,30 +138,36 @@ class Sketches:
         return found
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Sketches]:
-    """The benchmark's items in blocks of about ``block_bytes`` of text; only one block is ever broadcast at a time."""
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[Sketches]]:
+    """The number of blocks of about ``block_bytes`` of text, and the blocks, each made when it is asked for."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = math.ceil(total / block_bytes) or 1
-    blocks = []
-    for k in range(n):
+
+    def block(k: int) -> Sketches:
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
-        blocks.append(Sketches([(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))]))
-    return blocks
+        return Sketches([(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))])
+
+    return n, map(block, range(n))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = fresh_folder(df.sparkSession, "decontaminated")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, shared, n_shingles and containment of every document and item at the threshold.
 
     Null and empty texts, and items without words, match nothing.  Repeated rows give one result row.
-    The documents are never shuffled.
+    The documents are never shuffled.  Of several blocks one at a time is held and broadcast, and its result
+    is written to the shared folder before the next one is made.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def pass_over(sketches: Sketches) -> DataFrame:
-        shared = spark.sparkContext.broadcast(sketches)
-
+    def pass_over(shared) -> DataFrame:
         def run(batches):
             own = shared.value
             for batch in batches:
@@ -181,13 +188,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
         return rows.mapInArrow(run, SCHEMA)
 
-    return reduce(DataFrame.union, map(pass_over, item_blocks(benchmark, block_bytes))).distinct()
+    n, blocks = item_blocks(benchmark, block_bytes)
+    parts = []
+    for sketches in blocks:
+        shared = spark.sparkContext.broadcast(sketches)
+        if n == 1:
+            return pass_over(shared).distinct()
+        parts.append(_stored(pass_over(shared)))
+        shared.destroy()
+    return reduce(DataFrame.union, parts).distinct()
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with all their columns, unshuffled."""
+    """The rows of ``docs`` that contain no benchmark item, with all their columns, unshuffled.
+
+    Of several blocks one at a time is held and broadcast; what it leaves is written to the shared folder.
+    """
     where = docs.columns.index("text")
-    for sketches in item_blocks(benchmark, block_bytes):
+    n, blocks = item_blocks(benchmark, block_bytes)
+    for sketches in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(sketches)
 
         def run(batches, shared=shared):
@@ -199,4 +218,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
                     yield part.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if n > 1:
+            docs = _stored(docs)
+            shared.destroy()
     return docs
