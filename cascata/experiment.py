@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.analytics import envelope
-from .operators import immunize, kernels, robust, seeding, sketches, statistics, transforms, worlds
+from .operators import immunize, robust, seeding, sketches, statistics, transforms, worlds
 from .params import Parameters
 from .runtime import cut, fresh_folder
 from .sources.generators import generate
@@ -100,7 +100,7 @@ class Experiment:
             parts = []
             for name in names:
                 order = removal.filter(F.col("strategy") == name).select("node", "rank")
-                reach = kernels.greedy_reach(live(edges, DEN, w), order, w, int(s["seeds"]), levels)
+                reach = robust.greedy_reach(live(edges, DEN, w), order, w, int(s["seeds"]), levels)
                 parts.append(reach.groupBy("l").agg(F.avg("reach").alias("value"), F.stddev_pop("reach").alias("sd")).withColumn("strategy", F.lit(name)))
             return robust.union_all(parts)
         seeds = int(s["seeds"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
+from . import kernels
 from .fixpoint import bottleneck, reach
 from .sketches import backward, roots
 from .worlds import live_ic, live_lt, simulate, without_blocked
@@ -39,6 +40,29 @@ def sequence(pairs: DataFrame, n: int, n_worlds: int) -> DataFrame:
     return top.groupBy("l").agg(F.sum("k").alias("sum_max_reach"), (F.sum("k") / F.lit(float(n_worlds))).alias("avg_max_reach"))
 
 
+def relational_reach(live: DataFrame, order: DataFrame, n_worlds: int, k: int, levels: list[int]) -> DataFrame:
+    """world, l, reach: nodes that k greedily picked roots reach, at chosen levels; all worlds and levels advance together."""
+    at = F.array(*[F.lit(v) for v in levels])
+    pairs = closure(live, order, n_worlds).select("world", "s", "v", F.explode(F.filter(at, lambda x: x <= F.col("b"))).alias("l"))
+    left, gains = cut(pairs), []
+    for _ in range(k):
+        best = left.groupBy("world", "l", "s").agg(F.count(F.lit(1)).alias("k")).groupBy("world", "l").agg(F.max(F.struct("k", "s")).alias("b"))
+        best = cut(best.select("world", "l", "b.s", "b.k"))
+        gains.append(best.select("world", "l", "k"))
+        covered = left.join(best.select("world", "l", "s"), ["world", "l", "s"]).select("world", "l", "v")
+        left = cut(left.join(covered, ["world", "l", "v"], "left_anti"))
+    return reduce(DataFrame.union, gains).groupBy("world", "l").agg(F.sum("k").alias("reach"))
+
+
+def greedy_reach(live: DataFrame, order: DataFrame, n_worlds: int, k: int, levels: list[int]) -> DataFrame:
+    """world, l, reach of k greedily picked roots: by the grouped kernel, or by relational rounds where a world does not fit it."""
+    if order.count() > kernels.MAX_NODES:
+        return relational_reach(live, order, n_worlds, k, levels)
+    if k > 1:
+        return kernels.greedy_reach(live, order, n_worlds, k, levels)
+    return kernels.max_reach(live, order, n_worlds).select("world", "l", F.col("max_reach").alias("reach")).filter(F.col("l").isin(levels))
+
+
 def saved_nodes(live: DataFrame, seeds: DataFrame, blocked: DataFrame, n: int, base: str) -> DataFrame:
     """strategy, activated, var_activated, saved, fraction_saved, against the strategy ``base`` in the same worlds."""
     names = blocked.select("strategy").distinct()

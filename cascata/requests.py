@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import kernels, robust, seeding, sketches, transforms, worlds
+from .operators import robust, seeding, sketches, transforms, worlds
 from .runtime import cut
 
 #: Reachability modes 1 to 6 are ways to compute one value and share one implementation.
@@ -41,7 +41,7 @@ class Resilience:
             raise ValueError(f"{self.blocked} of {n} nodes removed")
         levels = seeding.levels(self.alpha, n) if self.blocked < 0 else [self.blocked]
         live = (worlds.live_lt if self.lt else worlds.live_ic)(edges, self.den, self.iterations)
-        reach = kernels.greedy_reach(live, order, self.iterations, self.seeds, levels) if self.seeds > 1 else kernels.max_reach(live, order, self.iterations).select("world", "l", F.col("max_reach").alias("reach")).filter(F.col("l").isin(levels))
+        reach = robust.greedy_reach(live, order, self.iterations, self.seeds, levels)
         return reach.groupBy("l").agg(F.avg("reach").alias("value"), F.stddev_pop("reach").alias("sd"))
 
     def value(self, edges: DataFrame, order: DataFrame) -> float:

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from cascata.operators import kernels
 from cascata.requests import InfluenceMaximisation, Resilience, RobustSeeding, Simulation, sketch_error
 from cascata.sources import files
 
@@ -32,6 +33,15 @@ def test_resilience(spark):
         Resilience(mode=0)
 
 
+def test_resilience_of_worlds_that_fit_no_kernel(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, b, DEN // 2) for a, b in ((0, 1), (1, 2), (2, 3), (0, 3), (4, 1), (3, 5))], "src long, dst long, c long")
+    removal = order(spark, [2, 0, 5, 1, 3, 4])
+    series = lambda k: sorted(tuple(round(v, 9) for v in r) for r in Resilience(iterations=6, seeds=k).series(edges, removal).collect())
+    small = [series(k) for k in (1, 2)]
+    monkeypatch.setattr(kernels, "MAX_NODES", 3)
+    assert [series(k) for k in (1, 2)] == small
+
+
 def test_seeding_requests(spark):
     edges = path(spark, 8)
     assert InfluenceMaximisation(seeds=1, epsilon=0.5).run(edges).first()["node"] == 0
