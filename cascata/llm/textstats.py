@@ -60,8 +60,8 @@ INSULTS = frozenset(
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton ta tes vous votre usted ti tus".split())
 _WORD = re.compile(r"[^\W\d_]+")
-#: Runs that a masked word may lie in, and the words in them: letters that signs or digits part, between non-letters.
-_RUN = re.compile(r"(?:[^\W_]|[*@$!#])+")
+#: Runs that a masked word may lie in, from letters that a sign or digit follows on, and the letters in them.
+_RUN = re.compile(r"(?<![^\W\d_])[^\W\d_]++[*@$!#0-9](?:[^\W_]|[*@$!#])*+")
 _PART = re.compile(r"[^\W\d_]+")
 _MASKS = frozenset("*@$!#0123456789")
 _LETTER = str.maketrans("0134578@$!", "oieastbasi")
@@ -96,8 +96,7 @@ def masked_words(low: str) -> list[str]:
     found = []
     for run in _RUN.finditer(low):
         token = run.group()
-        if token.isalpha():
-            continue
+        free = not run.start() or not low[run.start() - 1].isalnum()
         parts = [m.span() for m in _PART.finditer(token)]
         k = 0
         while k < len(parts):
@@ -105,7 +104,7 @@ def masked_words(low: str) -> list[str]:
             while last + 1 < len(parts) and _MASKS.issuperset(token[parts[last][1] : parts[last + 1][0]]):
                 last += 1
             end = next((j for j in range(last, k, -1) if parts[j][1] == len(token) or not token[parts[j][1]].isalnum()), k)
-            first = next((j for j in range(k, end) if parts[j][0] == 0 or not token[parts[j][0] - 1].isalnum()), end)
+            first = next((j for j in range(k, end) if (not token[parts[j][0] - 1].isalnum() if parts[j][0] else free)), end)
             if first < end:
                 found.append(token[parts[first][0] : parts[end][1]])
             k = last + 1
