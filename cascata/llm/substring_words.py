@@ -25,7 +25,7 @@ from .wordhash import document_words, plain_words, span_hashes, word_hashes
 
 WINDOW, GRAM = 50, 12
 #: Suffixes in a part that is sorted and turned into a tree.
-PART = 1 << 15
+PART = 1 << 13
 #: Words that the prefixes grow by.
 STEP = 6
 _WORDS = plain_words()
