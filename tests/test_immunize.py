@@ -77,3 +77,29 @@ def test_statistics(spark):
     assert (s["n"], s["m"], s["min_degree"], s["max_degree"]) == (5, 5, 1, 4)
     c = {r["node"]: r["clustering"] for r in statistics.clustering(edges).collect()}
     assert c[0] == 1.0 and c[4] == 1.0 and c[1] == pytest.approx(1 / 6) and c[2] == 0
+
+
+def test_betweenness_beyond_the_driver(spark, monkeypatch):
+    """More edges than fit the driver, in components of their own, with sources dealt out over several tasks."""
+    monkeypatch.setattr(immunize, "DRIVER_EDGES", 1)
+    monkeypatch.setattr(immunize, "WORK", 20)
+    rng = np.random.default_rng(4)
+    pairs = {(base + int(a), base + int(b)): float(rng.integers(1, 4)) for base in (0, 100) for a, b in rng.integers(0, 12, (40, 2))}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "src long, dst long, weight double")
+    ids = sorted({v for e in pairs for v in e})
+    dist, count = {(a, b): np.inf for a in ids for b in ids}, {}
+    for a in ids:
+        dist[a, a] = 0.0
+    for (a, b), w in pairs.items():
+        dist[a, b] = min(dist[a, b], w)
+    for k in ids:
+        for a in ids:
+            for b in ids:
+                dist[a, b] = min(dist[a, b], dist[a, k] + dist[k, b])
+    for s in ids:
+        count[s, s] = 1
+        for v in sorted((v for v in ids if v != s and dist[s, v] < np.inf), key=lambda v: dist[s, v]):
+            count[s, v] = sum(count[s, u] for (u, x), w in pairs.items() if x == v and u != v and dist[s, u] + w == dist[s, v])
+    expected = {v: sum(count[s, v] * count[v, t] / count[s, t] for s in ids for t in ids if v not in (s, t) and s != t and dist[s, t] < np.inf and dist[s, v] + dist[v, t] == dist[s, t]) for v in ids}
+    got = dict(immunize.betweenness(edges).collect())
+    assert got == pytest.approx(expected)
