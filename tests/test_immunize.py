@@ -103,3 +103,44 @@ def test_betweenness_beyond_the_driver(spark, monkeypatch):
     expected = {v: sum(count[s, v] * count[v, t] / count[s, t] for s in ids for t in ids if v not in (s, t) and s != t and dist[s, t] < np.inf and dist[s, v] + dist[v, t] == dist[s, t]) for v in ids}
     got = dict(immunize.betweenness(edges).collect())
     assert got == pytest.approx(expected)
+
+
+def test_dava_beyond_the_driver(spark, monkeypatch):
+    """More edges than fit the driver, in components that meet in the infected nodes only, against a plain search."""
+    monkeypatch.setattr(immunize, "DRIVER_EDGES", 1)
+    rng = np.random.default_rng(6)
+    pairs = {(base + int(a), base + int(b)): float(rng.random()) for base in (0, 100, 200, 300) for a, b in rng.integers(0, 15, (32, 2)) if a != b}
+    sick = {0, 1, 100, 200, 300, 301}
+
+    def reached(gone):
+        """Greatest probability of a path from the infected, by node."""
+        best = dict.fromkeys(sick, 1.0)
+        while True:
+            more = {}
+            for (a, b), p in chance.items():
+                if a in best and b not in gone and best[a] * p > max(best.get(b, 0.0), more.get(b, 0.0)) + 1e-15:
+                    more[b] = best[a] * p
+            if not more:
+                return best
+            best |= more
+
+    # the infected are one node, so that their edges to a node merge
+    chance, into = {}, {}
+    for (a, b), p in pairs.items():
+        if b not in sick:
+            key = (0, b) if a in sick else (a, b)
+            chance[key] = 1 - (1 - chance.get(key, 0.0)) * (1 - p)
+    gone, expected = set(), []
+    for _ in range(6):
+        now = reached(gone)
+        without = {v: reached(gone | {v}) for v in now if v not in sick}
+        above = {v: {u for u in without if v not in without[u]} for v in without}
+        value = {v: sum(now[w] for w in above if v in above[w]) for v in above if above[v] == {v}}
+        if not value:
+            break
+        b, v = max((b, v) for v, b in value.items())
+        expected.append((v, pytest.approx(b)))
+        gone.add(v)
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "src long, dst long, weight double")
+    found = immunize.dava(edges, spark.createDataFrame([(v,) for v in sick], "node long"), 6)
+    assert [(r["node"], r["score"]) for r in found.orderBy("rank").collect()] == expected
