@@ -242,7 +242,8 @@ def imm_seeds(spark, sf_dir):
     """Influence maximisation with its sample size from the published bounds."""
     edges = cut(supp(spark, sf_dir))
     ids = cut(transforms.nodes(edges))
-    picked, r = seeding.imm(lambda first, r: sketches.rr_sets(edges, ids, SUPP_SPARSE, r, first=first).select("rr_id", "node"), ids.count(), 2, 0.5)
+    sampler = sketches.Sampler(edges, ids, SUPP_SPARSE)
+    picked, r = seeding.imm(lambda first, r: sampler.sample(first, r).select("rr_id", "node"), ids.count(), 2, 0.5)
     return spark.createDataFrame([(i, v, int(g), r) for i, (v, g) in enumerate(picked)], "pos int, node long, gain long, sketches int")
 
 
