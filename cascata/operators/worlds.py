@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..coins import SIDES, happens, u32
+from ..runtime import cut
 from .fixpoint import reach
 
 
@@ -38,10 +39,14 @@ def lt_picks(tag: str, node: str, name: str):
 def live_lt(edges: DataFrame, den: int, n: int, tag: str = "lt", name: str = "world") -> DataFrame:
     """world, src, dst: every node picks at most one in-edge, in proportion to its weight.
 
-    One draw per node and world on the whole graph.  A world serves every number of blocked nodes: a pick
-    of a blocked node is no edge.
+    One draw per node and world on the whole graph, made before the draw meets the node's in-edges.  A world
+    serves every number of blocked nodes: a pick of a blocked node is no edge.
     """
-    return worlds(lt_bounds(edges, den), n, name).filter(lt_picks(tag, "dst", name)).select(name, "src", "dst")
+    bounds = lt_bounds(edges, den)
+    draws = worlds(edges.select(F.col("dst").alias("v")).distinct(), n, name).select("v", name, u32(tag, "v", name).alias("_draw"))
+    value = F.col("_draw") * F.col("den")
+    picked = (F.col("v") == F.col("dst")) & (value >= F.col("lo") * SIDES) & (value < F.col("hi") * SIDES)
+    return bounds.join(draws, picked).select(name, "src", "dst")
 
 
 def without_blocked(live: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -65,7 +70,8 @@ def simulate(live: DataFrame, seeds: DataFrame, n: int, keys: list[str] | None =
     """keys, world, node, depth of everything activated from seeds(keys, node) in each of n worlds."""
     keys = keys or []
     start = worlds(seeds.select(*keys, "node").distinct(), n)
-    return reach(start, live, [*keys, "world"])
+    # the live edges are drawn once, not in every round
+    return reach(start, cut(live), [*keys, "world"])
 
 
 def spread(active: DataFrame, keys: list[str], n: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from cascata.operators import fixpoint, sketches, transforms, walks
+from cascata.operators import fixpoint, sketches, transforms, walks, worlds
 
 
 def graph(spark):
@@ -34,3 +34,17 @@ def test_ic_sketches_have_the_edges_chances(spark):
     assert found[60] == pytest.approx(0.12, abs=0.02)
     both = {tuple(r)[:2] for r in sampler.sample(0, 50).collect()}
     assert both == {tuple(r)[:2] for r in sampler.sample(0, 20).union(sampler.sample(20, 50)).collect()}
+
+
+def test_live_edges_are_drawn_once(spark):
+    """A world's edges are not computed again in every round of a simulation."""
+    drawn = spark.sparkContext.accumulator(0)
+
+    def met(batches):
+        for batch in batches:
+            drawn.add(batch.num_rows)
+            yield batch
+
+    path = spark.createDataFrame([(0, k, k + 1) for k in range(6)], "world int, src long, dst long").mapInArrow(met, "world int, src long, dst long")
+    active = worlds.simulate(path, spark.createDataFrame([(0,)], "node long"), 1)
+    assert active.count() == 7 and drawn.value == 6
