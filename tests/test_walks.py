@@ -48,3 +48,22 @@ def test_live_edges_are_drawn_once(spark):
     path = spark.createDataFrame([(0, k, k + 1) for k in range(6)], "world int, src long, dst long").mapInArrow(met, "world int, src long, dst long")
     active = worlds.simulate(path, spark.createDataFrame([(0,)], "node long"), 1)
     assert active.count() == 7 and drawn.value == 6
+
+
+def test_reach_pairs_run_on_strong_components(spark, monkeypatch):
+    """Two cycles in a row, a tail, and a node alone; the rounds meet components, not nodes."""
+    met = []
+    plain = fixpoint.reach
+    monkeypatch.setattr(fixpoint, "reach", lambda frontier, *rest, **more: met.append(frontier.count()) or plain(frontier, *rest, **more))
+    pairs = [(k, (k + 1) % 7) for k in range(7)] + [(10 + k, 10 + (k + 1) % 5) for k in range(5)] + [(3, 11), (3, 12), (14, 20), (20, 21), (20, 20)]
+    ids = sorted({v for e in pairs for v in e} | {30})
+    out = {v: {v} for v in ids}
+    for _ in ids:
+        for a, b in pairs:
+            out[a] |= out[b]
+        for v in ids:
+            out[v] |= set().union(*(out[u] for u in out[v]))
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    found = fixpoint.reach_pairs(spark.createDataFrame([(v,) for v in [*ids, 0, 30]], "id long"), edges).collect()
+    assert sorted(map(tuple, found)) == sorted((s, v) for s in ids for v in out[s])
+    assert met[-1] == 5
