@@ -2,13 +2,17 @@
 
 A document is the set of its lower-cased words' shingles, as 64-bit hashes; equal sets are one node.
 
-1. *Candidates.*  Nodes meet in the buckets of their LOW smallest shingle hashes.  Of the LOW smallest hashes
-   of two sets' union each is in both sets with a chance of their similarity, so a pair at 0.8 shares no
-   bucket with a chance below 0.2 ** LOW, which is less than that of two equal 64-bit hashes.
+1. *Candidates.*  Nodes meet by operator 8's blocks of bits of every word of their SimHash fingerprints of
+   64 * LANES bits: no two within LANE_RADIUS bits on some word are missed.  No choice of blocks reaches all
+   pairs at 0.8, which differ in about 40 bits, so nodes also meet in the buckets of their LOW smallest shingle
+   hashes.  Of the LOW smallest hashes of two sets' union each is in both sets with a chance of their
+   similarity, so a pair at 0.8 shares no such bucket with a chance below 0.2 ** LOW, which is less than that
+   of two equal 64-bit hashes.
 2. *Tiles.*  Every bucket is compared tile by tile as operator 8 compares its buckets: exclusive-or and bit
-   counts of SimHash fingerprints of 64 * LANES bits, where pairs beyond RADIUS bits are out.  Sets of a
-   similarity of 0.8 differ in at most 15.6 % of the bits on average, so that a pair is lost with a chance
-   below 1e-11.  Small sets, whose fingerprints say little, are never ruled out by their bits.
+   counts of the fingerprints, where pairs beyond RADIUS bits are out.  Sets of a similarity of 0.8 differ in
+   at most 15.6 % of the bits on average, so that a pair is lost with a chance below 1e-11.  A set of fewer
+   than TELLING shingles may differ in 18.75 % of them (four of five shingles), and is out beyond WIDE bits
+   (a chance below 1e-13).
 3. *Clusters.*  A spanning forest of each bucket's close pairs gives components; only sets within a cluster
    can be similar.
 4. *Verification.*  The whole sets of a cluster are compared exactly.  A large cluster is dealt out in parts;
@@ -25,14 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut, ranges, text_view, whole_groups
 from .components import connected_components
-from .simhash import Labels, deal, distances, near_tiles, pair_batch
+from .simhash import Labels, blocks, blocks_to_pick, deal, distances, near_tiles, pair_batch
 from .wordhash import Hashed, document_words, lower_table, mix, plain_words, word_hashes
 
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, LEAST = 5, (4, 5)
 #: Smallest hashes of a set that key buckets; 64-bit words of a fingerprint; bits by which similar sets may differ;
-#: shingles of a set from which on its fingerprint counts.
-LOW, LANES, RADIUS, TELLING = 24, 4, 84, 32
+#: the same for pairs with a set of fewer than TELLING shingles; bits of a word within which no pair is missed by blocks.
+LOW, LANES, RADIUS, WIDE, TELLING, LANE_RADIUS = 24, 4, 84, 100, 32, 3
 #: Shingles of a part of a cluster, and members that all parts of a cluster have in the first step.
 PART_SHINGLES, SHARED = 1 << 18, 16
 _FPS = [f"f{k}" for k in range(LANES)]
@@ -110,10 +114,19 @@ def _sizes_fit(m: np.ndarray, n: np.ndarray, least: tuple[int, int]) -> np.ndarr
     return (m * down >= n * up) & (n * down >= m * up)
 
 
+def bucket_keys(n: int):
+    """The buckets of each of ``n`` nodes: its fingerprint's blocks, and its smallest hashes."""
+    pick = blocks_to_pick(n, LANE_RADIUS)
+    own = [F.transform(blocks(F.col(c), LANE_RADIUS, pick), lambda b: F.xxhash64(F.lit(c), b["block"], b["value"])) for c in _FPS]
+    return F.concat("low", *own)
+
+
 def close_links(nodes: DataFrame, least: tuple[int, int], radius: int = RADIUS) -> DataFrame:
     """a, b: links that connect all nodes that share a bucket and whose fingerprints are close."""
     keys = ["low", "x", "y"]
-    rows = deal(nodes.withColumn("low", F.explode("low")), ["low"], "node")
+    rows = deal(nodes.withColumn("low", F.explode(bucket_keys(nodes.count()))), ["low"], "node")
+    # sets below this size can be similar to one that is not telling
+    middling = -(-TELLING * least[1] // least[0])
 
     def run(batches):
         for table, offsets in whole_groups(batches, tuple(keys)):
@@ -127,20 +140,19 @@ def close_links(nodes: DataFrame, least: tuple[int, int], radius: int = RADIUS)
                 i = np.flatnonzero((group[lag:] == group[:-lag]) & (own[lag:] <= 8))
                 i = i[_sizes_fit(n[i], n[i + lag], least)]
                 far = np.bitwise_count(fps[i] ^ fps[i + lag]).sum(1, dtype=np.int64)
-                i = i[(far <= radius) | (n[i] < TELLING) | (n[i + lag] < TELLING)]
+                i = i[far <= np.where(np.minimum(n[i], n[i + lag]) < TELLING, WIDE, radius)]
                 out.append(np.stack([node[i], node[i + lag]], 1))
             for g in np.flatnonzero(size > 8).tolist():
                 order = offsets[g] + np.argsort(n[offsets[g] : offsets[g + 1]], kind="stable")
                 found = Labels(np.arange(len(order)))
-                m, small = n[order], n[order] < TELLING
-                # small sets come first; their fingerprints rule nothing out
-                few = int(small.sum())
-                for i in range(few):
-                    found.join(i, i + 1 + np.flatnonzero(_sizes_fit(m[i], m[i + 1 :], least)))
-                for lo, at, near in near_tiles(fps[order], radius):
-                    near &= _sizes_fit(m[lo : lo + near.shape[0], None], m[None, at : at + near.shape[1]], least)
-                    for i in np.flatnonzero(near.any(1)).tolist():
-                        found.join(lo + i, at + np.flatnonzero(near[i]))
+                m = n[order]
+                # small sets come first
+                few = int(np.searchsorted(m, middling))
+                for end, reach in ((few, WIDE), (len(m), radius)):
+                    for lo, at, near in near_tiles(fps[order[:end]], reach) if end else ():
+                        near &= _sizes_fit(m[lo : lo + near.shape[0], None], m[None, at : at + near.shape[1]], least)
+                        for i in np.flatnonzero(near.any(1)).tolist():
+                            found.join(lo + i, at + np.flatnonzero(near[i]))
                 if found.links:
                     out.append(node[order[np.array(found.links)]])
             yield pair_batch(out)
@@ -205,8 +217,8 @@ def verified(dealt: DataFrame, keys: list[str], least: tuple[int, int], radius:
                     others = others[found.of[others] != found.of[i]]
                     if across:
                         others = others[side[others] != side[i]]
-                    if n[i] >= TELLING and len(others):
-                        others = others[distances(fps[i : i + 1], fps[others])[0] <= radius]
+                    if len(others):
+                        others = others[distances(fps[i : i + 1], fps[others])[0] <= (radius if n[i] >= TELLING else WIDE)]
                     while len(others):
                         # a few at a time: most are connected once the first links are found
                         found.join(i, similar_to(i, others[:64], sets, at, n))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cascata.llm import similar
@@ -78,3 +79,30 @@ def test_stage_keeps_one_of_each_component(spark):
         heads[x] = i if heads.get(x) is None else min(heads[x], i) if i is not None else heads[x]
     kept = corpus_pipeline.without_near_duplicates(spark, docs_frame(spark, rows), "")
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(heads.values(), key=str)
+
+
+def nodes_of(spark, rows, low):
+    """A node for each text, all with the given smallest hashes."""
+    signed = similar.signed(docs_frame(spark, rows).selectExpr("doc_id", "doc_id AS text_key", "text"), 5)
+    return signed.withColumn("low", F.array(*[F.lit(x).cast("long") for x in low]).cast("array<long>"))
+
+
+def test_fingerprint_blocks_find_near_sets(spark):
+    rng = random.Random(10)
+    base = [words(rng, 400, 5000).split() for _ in range(3)]
+    rows = [(10 * k + j, " ".join(b[: 100 + j] + ["changed"] * bool(j) + b[100 + j :])) for k, b in enumerate(base) for j in range(4)]
+    nodes = nodes_of(spark, rows, [])
+    ids = {r["node"]: r["doc_id"] for r in nodes.collect()}
+    found = {(ids[r["a"]] // 10, ids[r["b"]] // 10) for r in similar.close_links(nodes, similar.LEAST).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_fingerprints_rule_out_small_sets(spark):
+    rng = random.Random(11)
+    texts = [words(rng, n, 5000) for n in (9, 9, 11, 21, 25, 31, 35, 39) for _ in range(3)]  # even sets have fewer bits set
+    near = words(rng, 8, 5000)
+    for rows in (texts[:6], texts):
+        nodes = nodes_of(spark, list(enumerate([*rows, near, near + " end"])), [7])
+        ids = {r["node"]: r["doc_id"] for r in nodes.collect()}
+        found = [{ids[r["a"]], ids[r["b"]]} for r in similar.close_links(nodes, similar.LEAST).collect()]
+        assert found and all(pair == {len(rows), len(rows) + 1} for pair in found)
