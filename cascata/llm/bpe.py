@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import kept_by_worker
+
 # The Unicode White_Space characters, and the pre-tokenizer's published pattern over them.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (
@@ -157,7 +159,7 @@ class Bpe:
         return raw.decode("utf-8", "replace").encode()
 
 
-@functools.lru_cache(2)
+@kept_by_worker
 def _loaded(definition: bytes) -> Bpe:
     return Bpe(definition)
 

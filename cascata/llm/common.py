@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, fresh_folder, shared_folder
 
-__all__ = ["CHUNK_BYTES", "chunks", "crc_bucket", "cut", "documents", "fresh_folder", "in_fewer_files", "ranges", "same", "shared_folder", "text_view", "whole_groups"]
+__all__ = ["CHUNK_BYTES", "chunks", "crc_bucket", "cut", "documents", "fresh_folder", "give_up_kept", "in_fewer_files", "kept_by_worker", "ranges", "same", "shared_folder", "text_view", "whole_groups"]
 
 #: Bytes of text that a kernel looks at in one numpy call; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
@@ -49,6 +52,25 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+_KEPT = []
+
+
+def kept_by_worker(make):
+    """``make``, whose last two results a worker keeps from task to task, until a kernel of another operator needs the room."""
+    found = functools.lru_cache(2)(make)
+    _KEPT.append(found)
+    return found
+
+
+def give_up_kept() -> None:
+    """Workers are used again: what other operators keep in this one goes, and what Arrow has freed."""
+    if any(f.cache_info().currsize for f in _KEPT):
+        for f in _KEPT:
+            f.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def whole_groups(batches, keys: tuple[str, ...]):
     """(table, offsets) of whole groups of rows that come sorted by integer keys; group g is rows offsets[g] to offsets[g + 1]."""
 
@@ -57,6 +79,7 @@ def whole_groups(batches, keys: tuple[str, ...]):
         own = np.stack([table.column(c).to_numpy() for c in keys], 1)
         return table, np.concatenate(([0], np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1, [len(own)]))
 
+    give_up_kept()
     held, last = [], None
     for batch in batches:
         if not batch.num_rows:
@@ -77,12 +100,13 @@ def whole_groups(batches, keys: tuple[str, ...]):
         yield closed(held)
 
 
-def in_fewer_files(df: DataFrame, by: int = 8) -> DataFrame:
-    """A shuffle's result in an eighth of its partitions: for narrow rows, whose partitions make tiny files.
+def in_fewer_files(df: DataFrame, by: int = 8, least: int = 1) -> DataFrame:
+    """A shuffle's result in a ``by``-th of its partitions, ``least`` or more: for narrow rows, whose partitions make tiny files.
 
     Each task reads its partitions one after the other, so it needs no more memory than one of them.
     """
-    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, min(partitions, least), partitions // by))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

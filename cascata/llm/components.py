@@ -10,6 +10,8 @@ from .common import cut, in_fewer_files
 
 #: Parts that a node's edges are dealt out in when they meet the node's smallest neighbour.
 PARTS = 4
+#: Shuffle partitions to a file of a round's edges, and the fewest files.
+BY, FILES = 32, 6
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -40,10 +42,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     the edge set stays the same; each round's edges are checkpointed in the shared folder, so a lost
     executor costs a round at most, and a long chain takes a logarithmic number of rounds.
     """
-    now = cut(in_fewer_files(edges.toDF("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    now = cut(in_fewer_files(edges.toDF("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), BY, FILES))
     state = None
     for _ in range(max_rounds):
-        now = cut(in_fewer_files(_smallest(_largest(now)).filter("a <> b").distinct()))
+        now = cut(in_fewer_files(_smallest(_largest(now)).filter("a <> b").distinct(), BY, FILES))
         before, state = state, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break

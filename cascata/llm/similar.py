@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, ranges, text_view, whole_groups
+from .common import chunks, cut, give_up_kept, in_fewer_files, ranges, text_view, whole_groups
 from .components import connected_components
 from .simhash import Labels, blocks, blocks_to_pick, deal, distances, near_tiles, pair_batch
 from .wordhash import Hashed, document_words, lower_table, mix, plain_words, word_hashes
@@ -85,6 +85,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, text_key, node (a hash of the shingle set), n (its size), the fingerprint and the smallest hashes of every row."""
 
     def run(batches):
+        give_up_kept()
         for batch in batches:
             for lo, hi, hashes, owner in shingle_sets(batch.column(2), width):
                 n = np.bincount(owner, minlength=hi - lo)
@@ -241,7 +242,7 @@ def classes(docs: DataFrame, width: int = WORDS, least: tuple[int, int] = LEAST,
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     rows = cut(signed(keyed, width))
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("text_key", "n", *_FPS, "low")).alias("v")).select("node", "v.*")
-    clusters = cut(connected_components(cut(close_links(nodes, least))).toDF("node", "cluster"))
+    clusters = connected_components(close_links(nodes, least)).toDF("node", "cluster")
     number = lambda column: F.ceil(F.col(column) / part_shingles).cast("long")
 
     # one text of each set of a cluster; its parts are told from the sizes alone, before sets are made
@@ -249,12 +250,12 @@ def classes(docs: DataFrame, width: int = WORDS, least: tuple[int, int] = LEAST,
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
     members = members.join(sizes, "cluster")
     chosen = keyed.select(F.col("text_key").alias("key"), "text").join(members, F.col("key") == F.col("text_key")).dropDuplicates(["node"])
-    sets = cut(whole_sets(chosen.select("cluster", "shingles", "members", "node", "n", *_FPS, "text"), width))
+    sets = cut(in_fewer_files(whole_sets(chosen.select("cluster", "shingles", "members", "node", "n", *_FPS, "text"), width), 4, 6))
     share = lambda column, parts: F.pmod(F.xxhash64(column, F.lit("part")), parts)
     in_all = share("node", F.col("members")) < SHARED
     every = F.sequence(F.lit(0).cast("long"), number("shingles") - 1)
     first = sets.withColumns({"part": F.explode(F.when(in_all, every).otherwise(F.array(share("node", number("shingles"))))), "root": F.col("node"), "side": F.lit(0).cast("long")})
-    found = cut(verified(first, ["cluster", "part"], least))
+    found = cut(in_fewer_files(verified(first, ["cluster", "part"], least), 4, 6))
     roots = connected_components(found).toDF("node", "root")
 
     # components that are still apart in a cluster: members of the largest meet all others, and the others each other
@@ -272,6 +273,6 @@ def classes(docs: DataFrame, width: int = WORDS, least: tuple[int, int] = LEAST,
         F.transform(upto("rests"), lambda j: meeting(F.least(j, own_rest), F.greatest(j, own_rest), 0, 1)),
     )
     apart = apart.select("node", "root", F.explode(F.when(F.col("is_main"), main_meets).otherwise(rest_meets)).alias("m")).select("node", "root", "m.*")
-    more = cut(verified(apart.join(sets, "node"), ["cluster", "kind", "i", "j"], least))
+    more = verified(apart.join(sets, "node"), ["cluster", "kind", "i", "j"], least)
     final = connected_components(found.union(more)).toDF("member", "root")
     return rows.join(final, rows["node"] == final["member"], "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))

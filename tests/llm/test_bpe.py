@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +10,7 @@ tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 
 from cascata.llm import bpe  # noqa: E402
+from cascata.llm.common import whole_groups  # noqa: E402
 from cascata.llm.queries import op5_bpe, tokenizer_path  # noqa: E402
 
 from .helpers import docs_frame, odd_rows  # noqa: E402
@@ -45,3 +47,16 @@ def test_query_and_odd_rows(spark, sf_dir):
             expected.append((i, len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
         assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
     assert bpe.encode_documents(docs_frame(spark, []), tokenizer_path()).count() == 0
+
+
+def test_a_worker_gives_up_the_vocabulary_for_other_kernels(spark):
+    """Workers are used again; a kernel of whole groups in the same worker finds the room free."""
+
+    def run(batches):
+        bpe._loaded(definition)
+        had = bpe._loaded.cache_info().currsize
+        list(whole_groups(batches, ("id",)))
+        yield pa.record_batch([pa.array([had]), pa.array([bpe._loaded.cache_info().currsize])], names=["had", "left"])
+
+    definition = bpe.definition_of(tokenizer_path())
+    assert [tuple(r) for r in spark.range(3).coalesce(1).mapInArrow(run, "had long, left long").collect()] == [(1, 0)]

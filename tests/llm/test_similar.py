@@ -1,12 +1,14 @@
 """The pipeline's near-duplicate stage against all pairs of exact shingle sets."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cascata.llm import similar
+from cascata.llm.common import shared_folder
 
 from .helpers import docs_frame, odd_rows, words
 
@@ -106,3 +108,21 @@ def test_fingerprints_rule_out_small_sets(spark):
         ids = {r["node"]: r["doc_id"] for r in nodes.collect()}
         found = [{ids[r["a"]], ids[r["b"]]} for r in similar.close_links(nodes, similar.LEAST).collect()]
         assert found and all(pair == {len(rows), len(rows) + 1} for pair in found)
+
+
+def test_few_files_for_many_partitions(spark):
+    """Each file that is created starts processes where Hadoop has no native library."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    shared_folder(spark)
+    files = lambda: len(list(Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")).glob("**/part-*")))
+    docs = docs_frame(spark, rows_at_all_similarities()).coalesce(1)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        had = files()
+        similar.classes(docs)
+        assert 0 < files() - had < 4 * 64
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
