@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, fresh_folder, shared_folder
 
-__all__ = ["CHUNK_BYTES", "chunks", "crc_bucket", "cut", "documents", "fresh_folder", "give_up_kept", "in_fewer_files", "kept_by_worker", "ranges", "same", "shared_folder", "text_view", "whole_groups"]
+__all__ = ["CHUNK_BYTES", "chunks", "crc_bucket", "cut", "documents", "fresh_folder", "give_back", "give_up_kept", "in_fewer_files", "in_files_of", "kept_by_worker", "ranges", "same", "shared_folder", "text_view", "whole_groups"]
 
 #: Bytes of text that a kernel looks at in one numpy call; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
@@ -62,13 +63,25 @@ def kept_by_worker(make):
     return found
 
 
+@functools.cache
+def _trim():
+    """The C library's malloc_trim, or, where it has none, a function that does nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system: Arrow's, and the C library's, which keeps whatever lies below a block in use."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def give_up_kept() -> None:
-    """Workers are used again: what other operators keep in this one goes, and what Arrow has freed."""
+    """Workers are used again: what other operators keep in this one goes, and what earlier kernels have freed."""
     if any(f.cache_info().currsize for f in _KEPT):
         for f in _KEPT:
             f.cache_clear()
         gc.collect()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def whole_groups(batches, keys: tuple[str, ...]):
@@ -98,6 +111,8 @@ def whole_groups(batches, keys: tuple[str, ...]):
         last = own[-1]
     if held:
         yield closed(held)
+    del held
+    give_back()
 
 
 def in_fewer_files(df: DataFrame, by: int = 8, least: int = 1) -> DataFrame:
@@ -109,6 +124,15 @@ def in_fewer_files(df: DataFrame, by: int = 8, least: int = 1) -> DataFrame:
     return df.coalesce(max(1, min(partitions, least), partitions // by))
 
 
+def in_files_of(df: DataFrame, rows: int, each: int = 4096, least: int = 12) -> DataFrame:
+    """A shuffle's result in no more partitions than ``rows`` documents need at ``each``, or ``least``.
+
+    On a local disk Hadoop starts processes for each file, however small.  ``each`` is less than the rows of an Arrow batch,
+    which both sides hold whole, so that batches stay about as small as without this.
+    """
+    return df.coalesce(max(least, -(-rows // each)))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

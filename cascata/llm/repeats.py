@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh_folder, in_fewer_files, ranges, same, text_view
+from .common import chunks, fresh_folder, give_back, in_fewer_files, ranges, same, text_view
 from .wordhash import Hashed, span_hashes
 
 #: Distinct contents of an anchor from which on blocks of BLOCK windows, and single windows, are keyed on their own.
@@ -148,6 +148,7 @@ def _tile_rows(docs: DataFrame, spec: Spec) -> DataFrame:
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchor[own]), pa.array(content[own]), small(start), small(count), small(distance), more],
                     names=["doc_id", "text_key", "anchor", "content", "start", "count", "distance", "more"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, text_key long, anchor long, content long, start int, count int, distance int, more array<int>")
 
@@ -210,6 +211,7 @@ def _piece_rows(docs: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
                         columns = (p.group[b], anchor[pick][source[b]], content[pick][source[b]], shift[b], p.count[b], p.distance[b], p.value[b])
                         vast = pa.array(np.full(len(n), block == 1))
                         yield pa.record_batch([*map(pa.array, columns), binary, vast], names=["key", "anchor", "content", "shift", "count", "distance", "value", "symbols", "vast"])
+        give_back()
 
     rows = docs.join(wanted, same(docs["doc_id"], wanted["w_id"]) & (docs["text_key"] == wanted["w_key"])).select("text", "wants")
     return rows.mapInArrow(run, "key long, anchor long, content long, shift long, count long, distance long, value long, symbols binary, vast boolean")
@@ -277,6 +279,7 @@ def _indexed(pieces: DataFrame, spec: Spec) -> DataFrame:
             length = np.diff(np.append(head, len(at)))
             own = pick[piece[at[head]]]
             yield pa.record_batch([pa.array(get("anchor")[own]), pa.array(get("content")[own]), pa.array(get("shift")[own] + within[at[head]]), pa.array(length), pa.array(value[at[head]])], names=["anchor", "content", "first", "length", "value"])
+        give_back()
 
     return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "anchor long, content long, first long, length long, value long")
 
@@ -284,7 +287,7 @@ def _indexed(pieces: DataFrame, spec: Spec) -> DataFrame:
 def stored(df: DataFrame, name: str, summed: bool = True) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again; summed: few narrow rows after an aggregation."""
     path = fresh_folder(df.sparkSession, name)
-    (in_fewer_files(df, 4) if summed else df).write.parquet(path)
+    (in_fewer_files(df, 16, 6) if summed else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

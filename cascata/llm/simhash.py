@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_groups
+from .common import cut, in_files_of, whole_groups
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -197,4 +197,4 @@ def keep_one(docs: DataFrame, components: Callable[[DataFrame], DataFrame] = nea
     # join key), so that one shuffle by id serves both the join and the repeated rows
     named = marked.join(first, marked["doc_id"] == first["keep_id"]).filter(F.col(mark).bitwiseXOR(F.col("keep_key")) == 0).drop("keep_id", "keep_key")
     nameless = marked.filter(marked["doc_id"].isNull()).join(first.filter("keep_id IS NULL"), F.col(mark) == F.col("keep_key"), "left_semi")
-    return named.dropDuplicates(["doc_id", mark]).union(nameless.dropDuplicates([mark])).select(*docs.columns)
+    return in_files_of(named.dropDuplicates(["doc_id", mark]).union(nameless.dropDuplicates([mark])).select(*docs.columns), docs.count())

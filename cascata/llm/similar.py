@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, give_up_kept, in_fewer_files, ranges, text_view, whole_groups
+from .common import chunks, cut, give_back, give_up_kept, in_fewer_files, ranges, text_view, whole_groups
 from .components import connected_components
 from .simhash import Labels, blocks, blocks_to_pick, deal, distances, near_tiles, pair_batch
 from .wordhash import Hashed, document_words, lower_table, mix, plain_words, word_hashes
@@ -101,6 +101,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                     [rows.column(0), rows.column(1), pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), *[pa.array(fps[:, k].copy()) for k in range(LANES)], lists],
                     names=["doc_id", "text_key", "node", "n", *_FPS, "low"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, f"doc_id long, text_key long, node long, n long, {', '.join(f'{c} long' for c in _FPS)}, low array<long>")
 
@@ -173,6 +174,7 @@ def whole_sets(rows: DataFrame, width: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 part = batch.slice(lo, hi - lo)
                 yield pa.record_batch([*[part.column(k) for k in range(last)], sets], names=[*[f.name for f in kept], "set"])
+        give_back()
 
     return rows.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "set array<long>"]))
 

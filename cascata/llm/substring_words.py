@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges
+from .common import in_files_of, ranges
 from .repeats import Pieces, Spec, Symbols, cover, with_runs
 from .wordhash import document_words, plain_words, span_hashes, word_hashes
 
@@ -243,5 +243,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns[where] = pa.array(out, batch.column(where).type)
             yield pa.record_batch(columns, schema=pa.schema([batch.schema.field(k) for k in range(last)]))
 
-    kept = table.mapInArrow(run, docs.schema)
+    kept = in_files_of(table, docs.count()).mapInArrow(run, docs.schema)
     return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, text_view
+from .common import chunks, give_up_kept, text_view
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -193,6 +193,7 @@ def feature_rows(docs: DataFrame, kernel, keep: tuple[str, ...] = ()) -> DataFra
     """doc_id, the ``keep`` columns and the feature vector of every row."""
 
     def run(batches):
+        give_up_kept()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -225,6 +226,7 @@ def filter_rows(docs: DataFrame, kernel, score, threshold: float = 0.5) -> DataF
     where = docs.columns.index("text")
 
     def run(batches):
+        give_up_kept()
         predict = model.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
