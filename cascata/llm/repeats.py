@@ -287,7 +287,7 @@ def _indexed(pieces: DataFrame, spec: Spec) -> DataFrame:
 def stored(df: DataFrame, name: str, summed: bool = True) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again; summed: few narrow rows after an aggregation."""
     path = fresh_folder(df.sparkSession, name)
-    (in_fewer_files(df, 16, 6) if summed else df).write.parquet(path)
+    (in_fewer_files(df, 16, 12) if summed else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
