@@ -208,9 +208,10 @@ def rr_set_influence(spark, sf_dir):
     return sketches.set_influence(rr, _seeds(spark), n, SKETCHES)
 
 
-@query(f"{RR_SQL} SELECT CAST(sum(1 + rr_id % 5) AS DOUBLE) AS reward FROM (SELECT DISTINCT rr_id FROM r WHERE node IN ({', '.join(map(str, SEEDS))}))")
+@query(f"{rr_sql(live_sql(SUPP_DEN, SKETCHES, 'rric', 'rr_id'))} SELECT CAST(sum(1 + rr_id % 5) AS DOUBLE) AS reward FROM (SELECT DISTINCT rr_id FROM r WHERE node IN ({', '.join(map(str, SEEDS))}))")
 def rr_weighted_reward(spark, sf_dir):
-    rr, _ = _rr(spark, sf_dir)
+    """With the graph's own activation probability: at SUPP_SPARSE hardly a sketch goes beyond its root."""
+    rr = _rr(spark, sf_dir, den=SUPP_DEN)[0]
     rewards = spark.range(SKETCHES).select(F.col("id").cast("int").alias("rr_id"), (1 + F.col("id") % 5).cast("double").alias("reward"))
     return sketches.covered_reward(rr, _seeds(spark), rewards)
 

@@ -1,9 +1,12 @@
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from cascata.operators import kernels, robust, seeding, sketches, transforms, worlds
+from cascata.plans import diffusion
+from cascata.sources import derived
 
 DEN = 10
 
@@ -116,3 +119,20 @@ def test_reward_of_seeds_in_no_sketch_is_null(spark):
     rr = spark.createDataFrame([(0, 1), (1, 2)], "rr_id int, node long")
     reward = spark.createDataFrame([(0, 1.0), (1, 1.0)], "rr_id int, reward double")
     assert sketches.covered_reward(rr, spark.createDataFrame([(9,)], "node long"), reward).first()["reward"] is None
+
+
+def test_weighted_reward_takes_the_graphs_own_chances(spark, sf_dir):
+    """The registered query against sketches walked one by one, with every edge's chance c / SUPP_DEN."""
+    edges = {(r["src"], r["dst"]): r["c"] for r in derived.supp(spark, sf_dir).collect()}
+    coin = lambda *key: int(hashlib.md5("-".join(map(str, key)).encode()).hexdigest()[:8], 16)
+    ids, into = sorted({v for e in edges for v in e}), {}
+    for (a, b), c in edges.items():
+        into.setdefault(b, []).append((a, c))
+    reward = 0
+    for k in range(diffusion.SKETCHES):
+        held = new = {ids[coin("root", k) * len(ids) >> 32]}
+        while new:
+            new = {a for b in new for a, c in into.get(b, ()) if coin("rric", a, b, k) * derived.SUPP_DEN < min(c, derived.SUPP_DEN) << 32} - held
+            held = held | new
+        reward += (1 + k % 5) * bool(held & set(diffusion.SEEDS))
+    assert diffusion.rr_weighted_reward(spark, sf_dir).first()["reward"] == reward
