@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cascata.operators import immunize, statistics, transforms
@@ -144,3 +145,25 @@ def test_dava_beyond_the_driver(spark, monkeypatch):
     edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "src long, dst long, weight double")
     found = immunize.dava(edges, spark.createDataFrame([(v,) for v in sick], "node long"), 6)
     assert [(r["node"], r["score"]) for r in found.orderBy("rank").collect()] == expected
+
+
+def test_betweenness_packs_a_large_component_in_blocks(spark, monkeypatch):
+    """No task meets all edges of a component as rows, and blocks give the scores of one."""
+    rng = np.random.default_rng(7)
+    rows = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (400, 2))})
+    edges = spark.createDataFrame([(1000 + a, 1000 + b, float(1 + (a * b) % 3) / 3) for a, b in rows], "src long, dst long, weight double")
+    whole = dict(immunize.betweenness(edges).collect())
+    met = spark.sparkContext.accumulator(0)
+    plain = immunize.pack
+
+    def pack(table):
+        met.add(1)
+        return plain(table)
+
+    monkeypatch.setattr(immunize, "pack", pack)
+    monkeypatch.setattr(immunize, "BLOCK", 50)
+    assert dict(immunize.betweenness(edges).collect()) == pytest.approx(whole)
+    assert met.value >= 6
+    weights = pa.table({"a": [70_000, 1, 1], "b": [0, 2, 0], "weight": [0.5, 1.5, 0.25], "component": [9] * 3, "parts": [1] * 3})
+    (heads, first, src, weight), = immunize.Blocks(immunize.pack(weights))
+    assert (heads.tolist(), first.tolist(), src.tolist(), weight.tolist()) == ([0, 2], [0, 2], [1, 70_000, 1], [0.25, 0.5, 1.5])
